@@ -27,9 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table by its unique key when its files give fewer tasks than there are cores.
+
+    Small test files arrive as one split; a large table has thousands and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, tokens) of the whole corpus."""
-    return table(spark, sf_dir, "documents").select("doc_id", simple_preprocess(F.col("text")).alias("tokens"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", simple_preprocess(F.col("text")).alias("tokens"))
 
 
 def r6(c, name: str):

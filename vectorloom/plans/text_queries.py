@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vectorloom.functions import text as tx
-from vectorloom.plans.registry import query, table, tok_sql
+from vectorloom.plans.registry import query, spread, table, tok_sql
 
 STOPWORDS = ("the and of to in is it for on was with as by at an be this that are from or had not but "
              "der die das und ist ein eine nicht le la les un une de des et est que el los las en y por").split()
@@ -17,7 +17,7 @@ def words_sql(c):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 @query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS cleaned FROM pages")
