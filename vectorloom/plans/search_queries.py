@@ -99,7 +99,7 @@ def _(spark, d):
 # ---- embeddings: word = zero-padded id so that text order and id order agree
 EMB = ("emb AS (SELECT 'w' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS word, vec_id AS idx, label, "
        "CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
-       "un AS (SELECT word, idx, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM emb)")
+       "un AS (SELECT word, idx, label, v, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM emb)")
 DOT = "list_dot_product({}, {})"
 
 

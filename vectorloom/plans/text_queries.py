@@ -141,7 +141,7 @@ def _(spark, d):
 
 _PROTECT = (r"regexp_replace(regexp_replace(text, '([A-Z][a-z]{1,2}\.)\s([\p{L}\p{N}_])', '\1@\2', 'g'), "
             r"'(\.[a-zA-Z]\.)\s([\p{L}\p{N}_])', '\1@\2', 'g')")
-_SENT_SQL = (
+SENT_SQL = (
     f"sent0 AS (SELECT doc_id, regexp_extract_all({_PROTECT}, "
     r"'(\S[^\n]+?[.!?])(\s+|$)|(\S[^\n]+?)(\n|$)') AS s FROM documents), "
     "sent AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, regexp_replace(regexp_replace(regexp_replace(unnest(s), "
@@ -149,19 +149,19 @@ _SENT_SQL = (
     r"'\s+$', '') AS sentence FROM sent0)")
 
 
-@query("split_sentences", f"WITH {_SENT_SQL} SELECT doc_id, pos, sentence FROM sent")
+@query("split_sentences", f"WITH {SENT_SQL} SELECT doc_id, pos, sentence FROM sent")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "sentence")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), F.regexp_replace("sentence", r"\s+$", "").alias("sentence"))
 
 
-_SSTEPS = "lower(sentence)"
+SENTENCE_STEPS = "lower(sentence)"
 for _pattern, _to in (("<[^>]+>", ""), (PUNCT, " "), (WS, " "), ("[0-9]+", "")):
-    _SSTEPS = f"regexp_replace({_SSTEPS}, '{_pattern}', '{_to}', 'g')"
+    SENTENCE_STEPS = f"regexp_replace({SENTENCE_STEPS}, '{_pattern}', '{_to}', 'g')"
 
 
 @query("clean_by_sentence",
-       f"WITH {_SENT_SQL}, c AS (SELECT doc_id, pos, array_to_string(list_filter({words_sql(_SSTEPS)}, "
+       f"WITH {SENT_SQL}, c AS (SELECT doc_id, pos, array_to_string(list_filter({words_sql(SENTENCE_STEPS)}, "
        f"lambda w: w NOT IN {STOP} AND length(w) >= 3), ' ') AS tokens FROM sent) SELECT * FROM c WHERE tokens <> ''")
 def _(spark, d):
     out = tx.clean_by_sentence(_docs(spark, d), "doc_id", filters=tx.default_filters(STOPWORDS, stemming=False))
