@@ -109,3 +109,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def hash01(*cols, seed: int = 0):
     """Deterministic uniform value in [0,1) from the given columns, stable under recomputation."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, reachable by every executor, for files a job writes and reads back."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
