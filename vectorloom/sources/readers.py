@@ -268,7 +268,7 @@ def read_outlier_groups(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("_file"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("group_id"),
         "value")
-    lines = files.select("_file", "group_id", F.posexplode(F.transform(F.split("value", "\n"), F.trim)).alias("pos", "word"))
+    lines = files.select("_file", "group_id", F.posexplode(F.transform(F.split("value", "\n"), lambda x: F.trim(x))).alias("pos", "word"))
     blank = F.min(F.when(F.col("word") == "", F.col("pos"))).over(W.partitionBy("_file"))
     return lines.withColumn("_blank", blank).withColumn(
         "is_outlier", F.coalesce(F.col("pos") > F.col("_blank"), F.lit(False))).filter("word <> ''").drop("_blank", "_file")
