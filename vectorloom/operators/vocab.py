@@ -213,6 +213,7 @@ def negative_sampling_table(counts: DataFrame, power: float = 0.75, domain: int
     grand = weighted.agg(F.sum("_w").alias("_t"))
     return (summed.join(F.broadcast(grand))  # one row
             .select("token", "count", (F.col("_c") / F.col("_t")).alias("share"),
+                    F.round((F.col("_c") - F.col("_w")) / F.col("_t") * domain).cast("long").alias("lower"),
                     F.round(F.col("_c") / F.col("_t") * domain).cast("long").alias("upper")))
 
 
