@@ -122,3 +122,13 @@ def test_random_projection_keeps_norms(spark):
     rows = spark.createDataFrame([(d, t, 1.0) for d in range(5) for t in range(d * 10, d * 10 + 40)], "doc_id int, term_id int, weight double")
     norms = {r["doc_id"]: r["n"] for r in w.random_projection(rows, 64).groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()}
     assert all(0.5 < n / 40 < 1.6 for n in norms.values())
+
+
+def test_phrase_lookup_takes_longest_known_stretches(spark):
+    e = spark.createDataFrame([("new_york", [1.0, 0.0]), ("new", [9.0, 9.0]), ("york", [9.0, 9.0]), ("city", [0.0, 1.0]), ("a##", [4.0, 4.0])],
+                              "word string, vector array<double>")
+    q = spark.createDataFrame([(1, "New_York_of_City"), (2, "york"), (3, "x_y"), (4, "a12")], "phrase_id int, phrase string")
+    got = {r["phrase_id"]: r["vector"] for r in s.phrase_lookup(q, e, mask_digits=True).collect()}
+    assert got == {1: [0.5, 0.5], 2: [9.0, 9.0], 4: [4.0, 4.0]}
+    parts = {r["phrase_id"]: r["vector"] for r in s.phrase_lookup(q, e, whole_phrases=False).collect()}
+    assert parts[1] == [6.0, 19 / 3]

@@ -353,3 +353,33 @@ def intersect_embedding(own: DataFrame, other: DataFrame, word: str = "word", ve
     return own.join(o, word, "left").select(
         *[c for c in own.columns if c != vector], F.coalesce("_o", vector).alias(vector),
         F.col("_o").isNotNull().alias("locked"))
+
+
+def phrase_lookup(phrases: DataFrame, embedding: DataFrame, whole_phrases: bool = True, lower: bool = True,
+                  mask_digits: bool = False, word: str = "word", vector: str = "vector") -> DataFrame:
+    """(phrase_id, vector) of `a_b_c` phrases: mean over the longest known stretches from left to right.
+
+    Without `whole_phrases` the single known parts are averaged. Every stretch of a phrase is looked up by one
+    join; the left-to-right walk happens inside the row. `mask_digits` turns runs of two or more digits into `#`.
+    """
+    text = F.lower("phrase") if lower else F.col("phrase")
+    text = F.regexp_replace(text, r"(?<=[0-9])[0-9]|[0-9](?=[0-9])", "#") if mask_digits else text
+    split = phrases.select("phrase_id", F.split(text, "_").alias("_p"))
+    longest = F.size("_p") if whole_phrases else F.lit(1)
+
+    def stretches(i):
+        return F.transform(F.sequence(F.lit(1), F.least(F.size("_p") - i, longest)), lambda n: F.struct(
+            i.alias("at"), n.alias("n"), F.array_join(F.slice("_p", i + 1, n), "_").alias("word")))
+
+    spans = split.select("phrase_id", F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.size("_p") - 1), stretches))).alias("_s")).select("phrase_id", "_s.*")
+    e = embedding.select(F.col(word).alias("word"), vx.as_double(F.col(vector)).alias("vector"))
+    known = spans.join(e.select("word"), "word", "left_semi")
+    best = known.groupBy("phrase_id", "at").agg(F.max(F.struct("n", "word")).alias("_b"))
+    rows = best.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("at", "_b.n", "_b.word"))).alias("_l"))
+    walked = F.aggregate(
+        F.col("_l"), F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("taken")),
+        lambda s, x: F.when(x["at"] >= s["free"], F.struct(
+            (x["at"] + x["n"]).alias("free"), F.concat(s["taken"], F.array(x["word"])).alias("taken"))).otherwise(s))
+    chosen = rows.select("phrase_id", F.explode(walked["taken"]).alias("word"))
+    return vector_mean(chosen.join(e, "word"), ["phrase_id"])
