@@ -117,3 +117,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per session, so that Arrow functions can import it anywhere."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_vectorloom_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='vectorloom-package-')}/vectorloom", "zip", here.parent, here.name)
+    sc.addPyFile(archive)
+    sc._vectorloom_shipped = True
