@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vectorloom.llm import mixing, quality, url_filter
+from vectorloom.llm import cross_polytope, language_id, mixing, packing, quality, separator_scan, toxicity, url_filter
 from vectorloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,11 +32,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_id")
+def _(spark, d):
+    return language_id.language_id(table(spark, d, "documents"))
+
+
+@query("op2_toxicity")
+def _(spark, d):
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op3_bin_slack_packing")
+def _(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
 @query("op5_pareto_mix")
 def _(spark, d):
     return mixing.pareto_mix(table(spark, d, "documents")).drop("copies")
 
 
+@query("op6_cross_polytope")
+def _(spark, d):
+    return cross_polytope.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op8_token_counts")
+def _(spark, d):
+    """Flat files of the whole corpus are written beside the checkpoints and scanned."""
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    separator_scan.write_token_files(table(spark, d, "documents"), folder)
+    counts = separator_scan.token_counts(spark, folder)
+    part = lambda group: F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)\.txt", group).cast("long")
+    return counts.select(part(1).alias("part"), part(2).alias("file"), "doc", "n_tokens", "ended")
+
+
 def _fence_sql() -> str:
     parts = []
     for f in quality.FENCES:
