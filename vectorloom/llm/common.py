@@ -17,8 +17,8 @@ __all__ = ["cut", "ensure_checkpoint_dir", "prepare", "held_out", "text_of", "WO
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch: texts reach 100 KB and more, so that batches of the default 10,000 rows could fill a worker.
-BATCH_ROWS = 1000
+#: Bytes of one Arrow batch: texts reach 100 KB and more, so that a batch of the default 10,000 rows could fill a worker.
+BATCH_BYTES = 8 << 20
 
 #: Texts that one vectorised step takes together, in bytes (a longer text is a step of its own).
 BLOCK_BYTES = 1 << 20
@@ -31,8 +31,9 @@ def prepare(spark: SparkSession) -> None:
     """Executors get the package, batches of long texts stay small, checkpoints have their shared folder."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) != f"{BATCH_BYTES}b":
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import cross_polytope, language_id, mixing, packing, quality, separator_scan, toxicity, url_filter
+from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, toxicity, url_filter
 from vectorloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def _(spark, d):
     return cross_polytope.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query("op7_ngram_join")
+def _(spark, d):
+    return ngram_join.link_components(table(spark, d, "documents"))
+
+
 @query("op8_token_counts")
 def _(spark, d):
     """Flat files of the whole corpus are written beside the checkpoints and scanned."""
