@@ -31,7 +31,7 @@ from vectorloom.llm.tokens import VOCABULARY, tokenizer
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one task numbers for one length.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 5_000
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY,
