@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def pareto_mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
                size_power: float = SIZE_POWER) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row of `docs` (doc_id, source, text)."""
+    """(doc_id, size, source_size, target, copies, taken) of every row of `docs` (doc_id, source, text); doc_id may be any long."""
     prepare(docs.sparkSession)
     sizes = cut(word_sizes(docs, "doc_id", "source"))
     targets = source_targets(sizes, weights, share, most).withColumnRenamed("source", "_s")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, toxicity, url_filter
+from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, suffix_dedup, toxicity, url_filter
 from vectorloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def _(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+@query("op4_suffix_dedup")
+def _(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
 @query("op5_pareto_mix")
 def _(spark, d):
     return mixing.pareto_mix(table(spark, d, "documents")).drop("copies")
