@@ -151,27 +151,34 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
                 codes = np.stack([hashing.buckets(at, t) for t in range(hashing.tables)], 1)
                 yield pd.DataFrame({"rep": batch["rep"], "v": batch["v"], "codes": list(codes)})
 
-    index = entries.mapInPandas(hashed, "rep long, v array<double>, codes array<long>").select(
-        "rep", "v", F.posexplode("codes").alias("t", "bucket"))
-    crowded = cut(index.groupBy("t", "bucket").count().filter(F.col("count") > cell_rows).select(
-        "t", "bucket", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts")))  # of buckets that fill cells of their own
-    cell = F.pmod(F.xxhash64("t", "bucket"), F.lit(cells)).cast("int")
+    coded = cut(entries.mapInPandas(hashed, "rep long, v array<double>, codes array<long>"))
+    cell = F.pmod(F.col("bucket") + 7919 * F.col("t"), F.lit(cells)).cast("int")
+    index = coded.select("rep", "v", F.posexplode("codes").alias("t", "bucket")).withColumn("cell", cell)
+    filled = index.groupBy("t", "cell").agg(F.ceil(F.count("*") / (2 * cell_rows)).cast("int").alias("parts"))
+    parts = cut(filled.filter("parts > 1"))  # cells with a crowded bucket
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
-    index = index.join(crowded, ["t", "bucket"], "left").select("t", cell.alias("cell"), part.alias("part"), "bucket", "rep", "v")
+    index = index.join(parts, ["t", "cell"], "left").select("t", "cell", part.alias("part"), "bucket", "rep", "v")
 
     def probing(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                at = hashing.placed(stack(batch["v"]), query=True)
-                for t in range(hashing.tables):
-                    yield pd.DataFrame({"rep": batch["rep"], "t": np.int32(t), "codes": list(hashing.probed(at, t))})
-
+            if not len(batch):
+                continue
+            at = hashing.placed(stack(batch["v"]), query=True)
+            for t in range(hashing.tables):
+                codes = np.sort(hashing.probed(at, t), 1)
+                places, rows, found = (codes + 7919 * t) % cells, [], []
+                for row in range(len(batch)):
+                    for c in np.unique(places[row]):
+                        rows.append((row, c))
+                        found.append(codes[row][places[row] == c])
+                rows = np.array(rows)
+                yield pd.DataFrame({"rep": batch["rep"].to_numpy()[rows[:, 0]], "t": np.int32(t), "cell": rows[:, 1].astype(np.int32),
+                                    "buckets": found, "v": batch["v"].to_numpy()[rows[:, 0]]})
+
+    # a row for each cell that a query probes, not for each bucket
     asked = entries.join(asking.select("rep").distinct(), "rep", "left_semi")
-    probes = asked.mapInPandas(probing, "rep long, t int, codes array<long>").select("rep", "t", F.explode("codes").alias("bucket"))
-    probes = probes.join(crowded, ["t", "bucket"], "left").select(
-        "t", cell.alias("cell"), "bucket", "rep", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    probes = probes.groupBy("t", "cell", "part", "rep").agg(F.collect_list("bucket").alias("buckets")).join(  # at most `probes` a group
-        asked.select("rep", "v"), "rep").select("t", "cell", "part", "rep", "buckets", "v")
+    probes = asked.mapInPandas(probing, "rep long, t int, cell int, buckets array<long>, v array<double>").join(parts, ["t", "cell"], "left")
+    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
     def answer(found: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -179,7 +186,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
             found = found.sort_values("bucket", kind="stable")
             buckets, reps, x = found["bucket"].to_numpy(), found["rep"].to_numpy(), stack(found["v"])
             for rep, probe, v in zip(queries["rep"], queries["buckets"], queries["v"], strict=True):
-                probe = np.sort(np.asarray(probe))
+                probe = np.asarray(probe)
                 first = np.searchsorted(buckets, probe, "left")
                 rows = gather_ranges(first, np.searchsorted(buckets, probe, "right") - first)
                 if not len(rows):
