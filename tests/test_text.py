@@ -21,7 +21,10 @@ def one(spark, value, fn):
     (tx.strip_punctuation, "a,b!!c", "a b c"),
     (tx.deaccent, "Šéf chomutovských komunistů dostal poštou bílý prášek", "Sef chomutovskych komunistu dostal postou bily prasek"),
     (tx.decode_html_entities, "&amp;&#65;&#x42;&eacute;&nosuch;", "&ABé&nosuch;"),
-    (tx.strip_wiki_markup, "a {{cite {{x}} y}} [[link|text]] '''b''' <ref>n</ref> [http://u.org site]", "a  text '''b'''   site"),
+    (tx.strip_wiki_markup, "a {{cite {{x}} y}} [[link|text]] '''b''' <ref>n</ref> [http://u.org site]", "a  text '''b'''  site"),
+    (tx.decode_html_entities, "&#x; &#1114112; &lt&gt; &&amp; &#55296;", "&#x; &#1114112; &lt> && &#55296;"),
+    (tx.strip_wiki_markup, "[[File:a.png|thumb|a [[b|c]] d]] [[Category:x]] x<br/>y {{open [1] <!-- no -->", "a c d  xy {{open [1] "),
+    (tx.strip_wiki_markup, "{| class=w\n|+ top\n|-\n! a !! b\n|-\n| style=x | 1 || [[q]]\n|}end", "\ntop\na\nb\n1\nq\nend"),
 ])
 def test_scalar(spark, fn, given, want):
     assert one(spark, given, fn) == want

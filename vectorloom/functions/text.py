@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
 import string
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,68 +141,93 @@ def preprocess_string(c: Column, filters: list[Callable[[Column], Column]] | Non
 
 
 # ---------------------------------------------------------------- entities and wiki markup
-def _decode_entities(texts: pd.Series) -> pd.Series:
-    import re
-    from html.entities import name2codepoint
-
-    pattern = re.compile(r"&(#?)([xX]?)(\w{1,8});")
-
-    def one(m: re.Match) -> str:
-        number, hexa, body = m.groups()
-        try:
-            if number:
-                return chr(int(body, 16 if hexa else 10))
-            return chr(name2codepoint[hexa + body])
-        except (KeyError, ValueError, OverflowError):
-            return m.group()
-
-    return texts.map(lambda t: t if t is None or "&" not in t else pattern.sub(one, t))
+def _character(reference: str) -> str | None:
+    """The character of a reference between ampersand and semicolon: a name, a decimal or a hexadecimal number."""
+    if not reference.startswith("#"):
+        return chr(name2codepoint[reference]) if reference in name2codepoint else None
+    base, digits = (16, reference[2:]) if reference[1:2] in ("x", "X") else (10, reference[1:])
+    if not (digits.isascii() and digits.isalnum()):
+        return None
+    try:
+        code = int(digits, base)
+    except ValueError:
+        return None
+    return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else None
+
+
+def _decode_references(text: str) -> str:
+    head, *parts = text.split("&")
+    out = [head]
+    for part in parts:
+        reference, end, rest = part.partition(";")
+        decoded = _character(reference) if end else None
+        out.append("&" + part if decoded is None else decoded + rest)
+    return "".join(out)
 
 
 def decode_html_entities(c: Column) -> Column:
-    """Decode numeric and named entities; unknown ones stay. Arrow, whole text."""
-    return F.pandas_udf(_decode_entities, "string")(c)
-
-
-def _drop_templates(texts: pd.Series) -> pd.Series:
-    """Remove balanced double-brace templates; brace depth is not a regular language, hence Python."""
-    import re
-
-    def one(t: str) -> str:
-        kept, depth, last = [], 0, 0
-        for m in re.finditer(r"\{\{|[{}]", t):
-            if depth == 0:
-                if m.group() == "{{":
-                    kept.append(t[last:m.start()])
-                    depth = 2
-            else:
-                depth += len(m.group()) if m.group()[0] == "{" else -1
-                if depth == 0:
-                    last = m.end()
-        return "".join(kept) if depth else "".join(kept) + t[last:]
-
-    return texts.map(lambda t: t if t is None or "{{" not in t else one(t))
-
-
-def strip_wiki_markup(c: Column, rounds: int = 3) -> Column:
-    """Wiki source to plain text: templates, captions, then `rounds` passes from the inside outwards."""
-    c = F.regexp_replace(c, r"(\n\[\[[a-z][a-z][\w-]*:[^:\]]+\]\])+$", "")  # trailing language links
-    c = F.pandas_udf(_drop_templates, "string")(c)
-    c = F.regexp_replace(c, r"\[\[(?:[fF]ile:|[iI]mage)(?:[^\]|]*\|)*([^\]|]*)\]\]", "$1")  # keep the caption
-    for _ in range(rounds):
-        for kind in ("ref", "nowiki", "math"):
-            if kind == "ref":
-                c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-            c = F.regexp_replace(c, rf"(?s)<{kind}(?:[> ].*?)(?:</{kind}>|/>)", "")
-        c = F.regexp_replace(c, r"(?s)<.*?>", "")
-        c = F.regexp_replace(c, r"\[\[Category:[^\]\[]*\]\]", "")
-        c = F.regexp_replace(c, r"(?d)\[\w+://.*?( .*?)?\]", "$1")  # external link: keep its text
-        c = F.regexp_replace(c, r"\[[^\]\[]*\|([^\]\[]*)\]", "$1")  # piped link: keep its text
-        c = F.replace(c, F.lit("||"), F.lit("\n|"))
-        c = F.regexp_replace(c, r"(?d)\n(?:\{\||\|-|\|\}).*?(?=\n)", "\n")
-        c = F.regexp_replace(c, r"(?d)\n[|!](?:.*?\|)*([^|]*?)", "\n$1")
-        c = F.replace(c, F.lit("[]"), F.lit(""))
-    return F.translate(c, "[]", "")
+    """Decode numeric and named character references; unknown ones stay. Arrow, whole text."""
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _decode_references(t) if t is not None and "&" in t else t)
+
+    return F.pandas_udf(decode, "string")(c)
+
+
+#: The brackets of wiki source that can nest, and elements whose content is no prose.
+_BRACKET = re.compile(r"\{\{|\}\}|\{\||\|\}|\[\[|\]\]|\[(?=\w+://)|\]")
+_CLOSING = {"{{": "}}", "{|": "|}", "[[": "]]", "[": "]"}
+_SILENT = re.compile(r"(?is)<!--.*?-->|<(ref|nowiki|math)\b(?:[^>]*/>|.*?</\1\s*>)")
+_TAG = re.compile(r"<[^<>]*>")
+
+
+def _said(opening: str, inner: str) -> str:
+    """What a reader sees of a closed bracket with the (already reduced) content `inner`."""
+    if opening == "{{":
+        return ""
+    if opening == "[":
+        return inner.partition(" ")[2]
+    if opening == "[[":
+        target, *labels = inner.split("|")
+        space = target.partition(":")[0].strip().lower()
+        if space == "category":
+            return ""
+        if space in ("file", "image"):
+            return labels[-1] if labels else ""
+        return labels[-1] if labels else target
+    # a table: cell contents, without row marks, captions' marks and cell attributes
+    cells = [cell.rpartition("|")[2].strip(" !+") for line in inner.split("\n")[1:] if not line.startswith("|-")
+             for cell in re.split(r"\|\||!!", line.removeprefix("|").removeprefix("!"))]
+    return "\n" + "\n".join(cells)
+
+
+def _plain_wiki(text: str) -> str:
+    """One pass with a stack of open brackets; a bracket that never closes is text."""
+    text = _TAG.sub("", _SILENT.sub("", text))
+    stack: list[tuple[str, list[str]]] = [("", [])]
+    at = 0
+    for mark in _BRACKET.finditer(text):
+        stack[-1][1].append(text[at:mark.start()])
+        at, sign = mark.end(), mark.group()
+        if sign in _CLOSING:
+            stack.append((sign, []))
+        elif sign == _CLOSING.get(stack[-1][0]):
+            opening, parts = stack.pop()
+            stack[-1][1].append(_said(opening, "".join(parts)))
+        else:
+            stack[-1][1].append(sign)
+    stack[-1][1].append(text[at:])
+    while len(stack) > 1:
+        opening, parts = stack.pop()
+        stack[-1][1].append(opening + "".join(parts))
+    return "".join(stack[0][1])
+
+
+def strip_wiki_markup(c: Column) -> Column:
+    """Wiki source to plain text: brackets nest, which no regular expression follows, hence one Arrow pass over each text."""
+    def strip(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else _plain_wiki(t))
+
+    return F.pandas_udf(strip, "string")(c)
 
 
 def clean_wiki_articles(pages: DataFrame, title: str = "title", text: str = "text",

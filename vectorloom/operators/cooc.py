@@ -19,7 +19,7 @@ def to_ids(docs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", tokens: st
     """(doc_id, ids): each document as its known tokens' ids in text order."""
     v = broadcast_if_small(vocab.select("token", "term_id"))
     occurrences = docs.select(doc_id, F.posexplode(tokens).alias("pos", "token")).join(v, "token")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "term_id")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "term_id")))
     return occurrences.groupBy(doc_id).agg(ordered.alias("_o")).select(doc_id, F.col("_o.term_id").alias("ids"))
 
 
@@ -81,7 +81,7 @@ def _ascending(s: Column, n: int, chosen: tuple = ()) -> Column:
 
 
 def distinct_chunks(chunks: DataFrame, n: int, ids: str = "ids") -> DataFrame:
-    return chunks.withColumn("_s", F.array_sort(F.array_distinct(F.col(ids)))).filter(F.size("_s") >= n)
+    return chunks.withColumn("_s", F.sort_array(F.array_distinct(F.col(ids)))).filter(F.size("_s") >= n)
 
 
 def ngram_cooccurrence(chunks: DataFrame, n: int = 2, ids: str = "ids") -> DataFrame:
@@ -138,7 +138,7 @@ def add_zero_samples(tensor: DataFrame, counts: DataFrame, vocab_size: int, shar
     """share * nnz random sorted tuples that were never counted, with value 0."""
     modes = _modes(tensor)
     draws = int(share * tensor.count())
-    picks = F.array_sort(F.array(*[
+    picks = F.sort_array(F.array(*[
         F.pmod(F.xxhash64("id", F.lit(m), F.lit(seed)), F.lit(vocab_size)).cast("long") for m in range(len(modes))]))
     drawn = tensor.sparkSession.range(draws).select(picks.alias("_p")).select(
         *[F.get("_p", F.lit(n)).alias(m) for n, m in enumerate(modes)])

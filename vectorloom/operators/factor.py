@@ -10,6 +10,7 @@ while a count shows them small. State is written to the checkpoint folder after
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from vectorloom.runtime import cut, fits, hash01
 
 # Optimiser settings.
 RATES = {"adam": 1e-3, "sgd": 1.0, "adagrad": 0.05}
+#: Training ends when a step lowers the loss by a smaller share than this.
+TOLERANCE = 1e-3
 
 
 @dataclass(frozen=True)
@@ -183,9 +186,17 @@ def update(state: DataFrame, grads: DataFrame, settings: Settings, t: int) -> Da
     return s.select("f", "idx", "vec", "m", "v")
 
 
+def settled(losses: list[float], tolerance: float) -> bool:
+    """True once the loss of the last step fell by less than `tolerance` of itself, or rose."""
+    return len(losses) > 1 and losses[-2] - losses[-1] < tolerance * abs(losses[-2])
+
+
 def train(parts: list[tuple[DataFrame, dict[str, str], float]], settings: Settings, steps: int, kind: str = "square",
-          state: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
-    """Full-batch training over weighted terms sharing factors: `parts` = [(rows, factors, term weight)]."""
+          state: DataFrame | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
+    """Full-batch training over weighted terms sharing factors: `parts` = [(rows, factors, term weight)].
+
+    Ends when the loss settles within `tolerance`, after `steps` steps at the latest.
+    """
     ready = []
     for rows, factors, weight in parts:
         rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
@@ -205,6 +216,8 @@ def train(parts: list[tuple[DataFrame, dict[str, str], float]], settings: Settin
         grads = cut(sum_gradients(grads) if len(ready) > 1 else grads)
         losses.append(loss_of(grads))
         state = cut(update(state, grads, settings, t))
+        if settled(losses, tolerance):
+            break
     return state, losses
 
 
@@ -286,6 +299,8 @@ def cp_als(tensor: DataFrame, rank: int, steps: int = 10, sequential: bool = Tru
             state = cut(out)
         e = predict(rows, state, factors, settings).agg(F.sum(F.pow(F.col("pred") - F.col("value"), F.lit(2.0)))).first()[0]
         losses.append(float(e or 0.0) / n)
+        if settled(losses, TOLERANCE):
+            break
     return state, losses
 
 
@@ -299,13 +314,13 @@ def reconstruction_error(tensor: DataFrame, factors: dict[str, DataFrame], bias:
 
 
 # ---------------------------------------------------------------- skip-gram, HOSG, CBOW
-def draw_negatives(rows: DataFrame, keys: list[str], cumulative: DataFrame, per_row: int, seed: int = 1, domain: int = 2**31 - 1,
-                   buckets: int = 4096) -> DataFrame:
+def draw_negatives(rows: DataFrame, keys: list[str], cumulative: DataFrame, per_row: int, seed: int = 1, domain: int = 2**31 - 1) -> DataFrame:
     """`per_row` words per row with chance share^power; `cumulative(term_id, upper)` is the running table.
 
-    The number line is cut into buckets: each word is listed in the buckets it covers, each draw lands in one, so the
-    range join is an equality join on the bucket and needs no broadcast.
+    The number line is cut into as many buckets as there are words: each word is listed in the buckets it covers, each draw lands in
+    one, so the range join is an equality join that meets about two words a draw, whatever the vocabulary's size.
     """
+    buckets = max(1, cumulative.count())
     width = domain // buckets + 1
     spans = cumulative.select("term_id", F.col("lower"), "upper").filter("upper > lower")
     listed = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lower") / width), F.floor((F.col("upper") - 1) / width))))
@@ -342,6 +357,16 @@ def sgns(pairs: DataFrame, counts: DataFrame, rank: int, steps: int = 20, negati
     return train([(rows, {"i": "U", "j": "V"}, 1.0)], settings, steps, "logistic", state)
 
 
+def hosg_rows(near: DataFrame, counts: DataFrame, negatives: int = 5, seed: int = 1) -> DataFrame:
+    """(i, j, k, value, weight) for `hosg` from `near(doc_id, pos, target, k, context)`: seen triples, and drawn words at the same offset."""
+    positive = near.groupBy(F.col("target").alias("i"), F.col("context").alias("j"), F.col("k").cast("long").alias("k")).agg(
+        F.count("*").cast("double").alias("weight"))
+    drawn = draw_negatives(near, ["doc_id", "pos", "k"], sampling_spans(counts), negatives, seed).filter(F.col("negative") != F.col("context"))
+    negative = drawn.groupBy(F.col("target").alias("i"), F.col("negative").alias("j"), F.col("k").cast("long").alias("k")).agg(
+        F.count("*").cast("double").alias("weight"))
+    return cut(positive.withColumn("value", F.lit(1.0)).unionByName(negative.withColumn("value", F.lit(0.0))))
+
+
 def hosg(triples: DataFrame, rank: int, steps: int = 20, rate: float = 0.05, seed: int = 1) -> tuple[DataFrame, list[float]]:
     """Skip-gram with a relation vector per position offset: `triples(i, j, k, value, weight)`, k = offset id."""
     settings = Settings(rank, rate=rate, seed=seed)
@@ -383,6 +408,8 @@ def cbow(windows: DataFrame, counts: DataFrame, rank: int, steps: int = 10, nega
         in_grad = inputs.join(back, "ex").select(F.lit("C").alias("f"), F.col("j").alias("idx"), vx.scale(F.col("_e"), share).alias("grad"))
         losses.append(float(scored.agg(F.sum("_loss")).first()[0] or 0.0))
         state = cut(update(state, sum_gradients(out_grad.unionByName(in_grad)), settings, t))
+        if settled(losses, TOLERANCE):
+            break
     return state, losses
 
 
@@ -391,48 +418,50 @@ def word2vec(docs: DataFrame, dim: int = 100, window: int = 5, min_count: int =
     """Hierarchical-softmax skip-gram of Spark ML: (word, vector). Its weights are broadcast, so cap by min_count."""
     from pyspark.ml.feature import Word2Vec
 
+    parts = docs.sparkSession.sparkContext.defaultParallelism  # the corpus is trained in as many parts, averaged after each pass
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=iterations, stepSize=rate, seed=seed,
-                     inputCol=tokens, outputCol="_v").fit(docs)
+                     numPartitions=parts, inputCol=tokens, outputCol="_v").fit(docs)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 # ---------------------------------------------------------------- documents
 def infer_vectors(docs: DataFrame, outputs: DataFrame, rank: int, steps: int = 10, rate: float = 0.1, min_rate: float = 0.0001,
-                  negatives: int = 5, seed: int = 1, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+                  negatives: int = 5, seed: int = 1, doc_id: str = "doc_id", ids: str = "ids", noise: int = 1 << 16) -> DataFrame:
     """(doc_id, vector): document vectors that predict the document's words while the word side stays frozen.
 
-    `outputs(idx, vector)` must fit a broadcast (counted); every document is then independent of all others.
-    Negatives are drawn evenly by a generator seeded with the document id.
+    `outputs(idx, vector[, count])` may be of any size: a document is joined with the vectors of its own words (unknown ones drop out),
+    and negatives come from one table of `noise` words drawn in proportion to count^0.75 (evenly without counts), the only thing that is
+    broadcast. Documents without a known word keep their start vector.
     """
-    if not fits(outputs):
-        raise ValueError("too many output vectors for a broadcast; prune the vocabulary first")
-    table = outputs.toPandas()  # counted above
-    names, matrix = table["idx"].to_numpy(), np.stack(table["vector"].to_list())
-    order = np.argsort(names)
-    names, matrix = names[order], matrix[order]
+    counted = outputs if "count" in outputs.columns else outputs.withColumn("count", F.lit(1))
+    named = counted.select(F.col("idx").cast("string").alias("token"), F.col("idx").alias("term_id"), "count")
+    draws = docs.sparkSession.range(noise).withColumnRenamed("id", "draw")
+    drawn = draw_negatives(draws, ["draw"], sampling_spans(named), 1, seed).select(F.col("negative").alias("idx"), "draw")
+    table = drawn.join(outputs.select("idx", "vector"), "idx").orderBy("draw").select("vector").collect()  # at most `noise` rows
+    shared = docs.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in table], float).reshape(len(table), rank))
+    known = docs.select(doc_id, F.posexplode(ids).alias("pos", "idx")).join(outputs.select("idx", "vector"), "idx").groupBy(doc_id).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "vector"))).alias("_w"))  # the words of one document
+    held = docs.select(doc_id).join(known, doc_id, "left").select(doc_id, F.col("_w.vector").alias("_w"))
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix = shared.value
         for pdf in batches:
             vectors = []
-            for key, words in zip(pdf[doc_id], pdf[ids]):
-                rng = np.random.default_rng([seed, abs(hash(int(key))) % (1 << 31)])
+            for key, words in zip(pdf[doc_id], pdf["_w"]):
+                rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
                 v = (rng.random(rank) - 0.5) / rank
-                at = np.searchsorted(names, np.asarray(words))
-                at = at[at < len(names)]
+                true = np.stack(words) if words is not None and len(words) else np.zeros((0, rank))
                 step = rate
-                for t in range(steps):
-                    if len(at) == 0:
-                        break
-                    pick = np.r_[at, rng.integers(0, len(names), len(at) * negatives)]
-                    label = np.r_[np.ones(len(at)), np.zeros(len(at) * negatives)]
-                    g = label - 1 / (1 + np.exp(-matrix[pick] @ v))
-                    v = v + step * (g @ matrix[pick]) / len(at)
-                    step = (step - min_rate) / (steps - t) + min_rate if steps - t > 0 else min_rate
+                for t in range(steps if len(true) else 0):
+                    x = np.concatenate([true, matrix[rng.integers(0, len(matrix), len(true) * negatives)]])
+                    label = np.arange(len(x)) < len(true)
+                    v = v + step * ((label - 1 / (1 + np.exp(-x @ v))) @ x) / len(true)
+                    step = (step - min_rate) / (steps - t) + min_rate
                 vectors.append(v)
             yield pd.DataFrame({doc_id: pdf[doc_id], "vector": vectors})
 
     t = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, ids).mapInPandas(infer, f"{doc_id} {t}, vector array<double>")
+    return held.mapInPandas(infer, f"{doc_id} {t}, vector array<double>")
 
 
 def doc_vectors(docs: DataFrame, counts: DataFrame, rank: int, steps: int = 10, negatives: int = 5, rate: float = 0.05, seed: int = 1,
@@ -453,4 +482,4 @@ def sentence_log_prob(pairs: DataFrame, words: DataFrame, contexts: DataFrame, d
     counted = pairs.groupBy(doc_id, "target", "context").agg(F.count("*").alias("_n"))
     x = vx.dot(F.col("_u"), F.col("_v"))
     return counted.join(u, "target").join(v, "context").groupBy(doc_id).agg(
-        F.sum(F.col("_n") * -F.log1p(F.exp(-x))).alias("log_prob"))
+        F.sum(F.col("_n") * (F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x))))).alias("log_prob"))  # never exp of a large number

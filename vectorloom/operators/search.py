@@ -317,7 +317,7 @@ def top_words_per_dimension(embedding: DataFrame, n: int, word: str = "word", ve
 def top_dimensions_of_words(embedding: DataFrame, n_dims: int, n_words: int, word: str = "word",
                             vector: str = "vector") -> DataFrame:
     """For every word its n_dims strongest dimensions and the strongest other words there."""
-    best = F.slice(F.array_sort(F.transform(vx.as_double(F.col(vector)), lambda x, i: F.struct((-x).alias("o"), i.alias("dim")))), 1, n_dims)
+    best = F.slice(F.sort_array(F.transform(vx.as_double(F.col(vector)), lambda x, i: F.struct((-x).alias("o"), i.alias("dim")))), 1, n_dims)
     dims = embedding.select(word, F.explode(best).alias("_b")).select(word, F.col("_b.dim").alias("dim"))
     leaders = top_words_per_dimension(embedding, n_words + 1, word, vector).select(
         "dim", F.col(word).alias("leader"), F.col("rank").alias("_r"))
@@ -376,7 +376,7 @@ def phrase_lookup(phrases: DataFrame, embedding: DataFrame, whole_phrases: bool
     e = embedding.select(F.col(word).alias("word"), vx.as_double(F.col(vector)).alias("vector"))
     known = spans.join(e.select("word"), "word", "left_semi")
     best = known.groupBy("phrase_id", "at").agg(F.max(F.struct("n", "word")).alias("_b"))
-    rows = best.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("at", "_b.n", "_b.word"))).alias("_l"))
+    rows = best.groupBy("phrase_id").agg(F.sort_array(F.collect_list(F.struct("at", "_b.n", "_b.word"))).alias("_l"))
     walked = F.aggregate(
         F.col("_l"), F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("taken")),
         lambda s, x: F.when(x["at"] >= s["free"], F.struct(

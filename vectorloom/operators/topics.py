@@ -1,58 +1,62 @@
 """Topic models: online LDA, inspection, choosing the number of topics, topics over time.
 
-`topics(topic, term_id|token, prob)` is the exchange form. Vocabularies are capped before fitting (`vocab_size`), so
-topic parameters, k x vocab_size numbers, fit the driver and a broadcast.
+`topics(topic, term_id|token, prob)` is the exchange form. Vocabularies are filtered by document frequency and not cut; the topic
+parameters are k numbers a term, which the driver and one broadcast hold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectorloom.operators.distance import vector_sum
+from vectorloom.operators.vocab import filter_extremes, token_counts, token_runs
+from vectorloom.operators.weight import hashed_split
 from vectorloom.runtime import cut
 
-VOCAB_SIZE = 100_000
 
+# ---------------------------------------------------------------- LDA
+def vectorize(docs: DataFrame, no_below: int = 5, no_above: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, ids, counts), vocabulary): documents over all tokens within the bounds of document frequency."""
+    vocab = cut(filter_extremes(token_counts(docs), docs, no_below, no_above, None))
+    return cut(chunk_documents(token_runs(docs), vocab)), vocab
 
-# ---------------------------------------------------------------- LDA on MLlib
-def vectorize(docs: DataFrame, vocab_size: int = VOCAB_SIZE, min_df: float = 1.0, max_df: float = 2**63 - 1) -> tuple[DataFrame, CountVectorizerModel]:
-    """Documents as count vectors over the most frequent tokens."""
-    model = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocab_size, minDF=min_df, maxDF=max_df).fit(docs)
-    return model.transform(docs), model
 
+def lda_fit(chunks: DataFrame, vocab_size: int, k: int, passes: int = 1, updates: int = 4, tolerance: float = 1e-3, **options) -> OnlineLda:
+    """Online variational Bayes in `passes` over the corpus, each of `updates` updates.
 
-def lda_fit(features: DataFrame, k: int, passes: int = 1, chunk_share: float = 0.05, offset: float = 1.0, decay: float = 0.5,
-            alpha: list[float] | None = None, eta: float | None = None, optimize_alpha: bool = False, seed: int = 0) -> LDAModel:
-    """Online variational Bayes; `chunk_share` of the corpus per update, `passes` over it."""
-    lda = LDA(k=k, optimizer="online", maxIter=max(1, int(round(passes / chunk_share))), subsamplingRate=chunk_share,
-              learningOffset=offset, learningDecay=decay, optimizeDocConcentration=optimize_alpha, seed=seed)
-    lda = lda.setDocConcentration(alpha) if alpha is not None else lda
-    lda = lda.setTopicConcentration(eta) if eta is not None else lda
-    return lda.fit(features)
+    A pass deals every document to one update by a hash of its id, so it visits each exactly once; passes end early when the topics
+    move by less than `tolerance`.
+    """
+    model = OnlineLda(k, vocab_size, **options)
+    size = chunks.count()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(updates))
+    for _ in range(passes):
+        before = model.topic_shares()
+        for turn in range(updates):
+            model.update(chunks.filter(share == turn), size)
+        if np.abs(model.topic_shares() - before).sum(1).max() < tolerance:
+            break
+    return model
 
 
-def lda_transform(model: LDAModel, features: DataFrame, minimum_probability: float = 0.01, doc_id: str = "doc_id") -> DataFrame:
+def lda_transform(model: OnlineLda, chunks: DataFrame, minimum_probability: float = 0.01, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, topic, prob) above the minimum."""
     floor = max(minimum_probability, 1e-8)
-    theta = model.transform(features).select(doc_id, vector_to_array("topicDistribution").alias("theta"))
-    return theta.select(doc_id, F.posexplode("theta").alias("topic", "prob")).filter(F.col("prob") >= floor)
+    return model.transform(chunks, doc_id).select(doc_id, F.posexplode("theta").alias("topic", "prob")).filter(F.col("prob") >= floor)
 
 
-def topic_terms_table(model: LDAModel, vectorizer: CountVectorizerModel) -> DataFrame:
+def topic_terms_table(model: OnlineLda, vocab: DataFrame) -> DataFrame:
     """(topic, term_id, token, prob) of a fitted model."""
-    matrix = model.topicsMatrix().toArray()
-    matrix = matrix / matrix.sum(0, keepdims=True)
-    rows = pd.DataFrame({"term_id": np.arange(matrix.shape[0]), "token": vectorizer.vocabulary, "_p": list(matrix)})
-    return SparkSession.active().createDataFrame(rows).select("term_id", "token", F.posexplode("_p").alias("topic", "prob"))
+    rows = [(term, p) for term, p in enumerate(model.topic_shares().T.tolist())]
+    table = vocab.sparkSession.createDataFrame(rows, "term_id long, _p array<double>")
+    return vocab.select("term_id", "token").join(table, "term_id").select("term_id", "token", F.posexplode("_p").alias("topic", "prob"))
 
 
 def word_topics(doc_topics: DataFrame, runs: DataFrame, topics: DataFrame, doc_id: str = "doc_id", key: str = "token") -> DataFrame:
@@ -64,11 +68,10 @@ def word_topics(doc_topics: DataFrame, runs: DataFrame, topics: DataFrame, doc_i
     return cells.withColumn("phi", F.col("phi") / total).select(doc_id, key, "topic", "phi")
 
 
-def lda_perplexity(model: LDAModel, features: DataFrame) -> tuple[float, float]:
-    """(bound per word in bits, perplexity 2^-bound) on held-out documents."""
-    nats = model.logPerplexity(features)  # minus the per-word bound, natural log
-    bound = -nats / np.log(2)
-    return float(bound), float(2 ** -bound)
+def lda_perplexity(model: OnlineLda, held_out: DataFrame) -> tuple[float, float]:
+    """(bound per word in bits, perplexity 2^-bound) of documents that the model was not fitted on."""
+    bound = model.bound(held_out) / math.log(2)
+    return bound, 2.0 ** -bound
 
 
 # ---------------------------------------------------------------- inspection
@@ -82,7 +85,7 @@ def show_topics(topics: DataFrame, topn: int = 10, word: str = "token", by_abs:
 def format_topics(topics: DataFrame, topn: int = 10, word: str = "token") -> DataFrame:
     """(topic, text) as `0.123*"word" + ...`."""
     best = show_topics(topics, topn, word).withColumn("_t", F.format_string('%.3f*"%s"', F.col("prob"), F.col(word)))
-    return best.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "_t"))).alias("_l")).select(  # topn entries
+    return best.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "_t"))).alias("_l")).select(  # topn entries
         "topic", F.array_join(F.col("_l._t"), " + ").alias("text"))
 
 
@@ -107,19 +110,39 @@ def _expectation(a: np.ndarray) -> np.ndarray:
     return digamma(a) - digamma(a.sum(-1, keepdims=True))
 
 
-def _fit_document(ids: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: np.ndarray, iterations: int, tolerance: float):
-    """Variational topic weights of one document given exp(E[log beta])."""
-    gamma = np.ones(len(alpha)) * (alpha.mean() + counts.sum() / len(alpha))
-    b = beta[:, ids]
+def _fit_documents(ids: list[np.ndarray], counts: list[np.ndarray], beta: np.ndarray, alpha: np.ndarray, iterations: int, tolerance: float):
+    """Variational posterior of a batch of documents with at least one term each, given exp(E[log beta]).
+
+    The coordinate ascent of the published method, for all documents at once: with theta = exp(E[log theta]), a term of a document is
+    explained in proportion to theta * beta, and gamma = alpha + the expected counts. Returns gamma, and the flat term ids with their
+    expected counts by topic.
+    """
+    sizes = np.array([len(i) for i in ids])
+    terms, n = np.concatenate(ids).astype(np.int64), np.concatenate(counts).astype(float)
+    doc, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+    weight = beta.T[terms]
+    gamma = alpha + np.add.reduceat(n, first)[:, None] / len(alpha)
+    expected = np.zeros_like(weight)
     for _ in range(iterations):
-        theta = np.exp(_expectation(gamma))
-        new = alpha + theta * ((counts / (theta @ b + 1e-100)) @ b.T)
-        done = np.abs(new - gamma).mean() < tolerance
-        gamma = new
+        explained = np.exp(_expectation(gamma))[doc] * weight
+        expected = explained * (n / (explained.sum(1) + 1e-100))[:, None]
+        moved = alpha + np.add.reduceat(expected, first, axis=0)
+        done = np.abs(moved - gamma).mean(1).max() < tolerance
+        gamma = moved
         if done:
             break
-    theta = np.exp(_expectation(gamma))
-    return gamma, np.outer(theta, counts / (theta @ b + 1e-100)) * b
+    return gamma, terms, expected
+
+
+def _batches(pdf: pd.DataFrame, rows: int = 500) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(places, ids, counts) of runs of documents that have terms."""
+    filled = [(at, np.asarray(i), np.asarray(c)) for at, (i, c) in enumerate(zip(pdf["ids"], pdf["counts"])) if i is not None and len(i)]
+    for first in range(0, len(filled), rows):
+        at, ids, counts = zip(*filled[first:first + rows])
+        yield np.array(at), list(ids), list(counts)
+
+
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
 class OnlineLda:
@@ -130,8 +153,6 @@ class OnlineLda:
 
     def __init__(self, k: int, vocab_size: int, alpha: float | None = None, eta: float | None = None, offset: float = 1.0,
                  decay: float = 0.5, iterations: int = 50, tolerance: float = 1e-3, seed: int = 0):
-        if vocab_size > VOCAB_SIZE:
-            raise ValueError(f"cap the vocabulary at {VOCAB_SIZE} terms first")
         self.k, self.vocab_size, self.offset, self.decay = k, vocab_size, offset, decay
         self.alpha = np.full(k, 1.0 / k if alpha is None else alpha)
         self.eta = 1.0 / k if eta is None else eta
@@ -140,17 +161,16 @@ class OnlineLda:
 
     def _statistics(self, docs: DataFrame) -> DataFrame:
         beta, alpha, limit, tol = np.exp(_expectation(self.lam)), self.alpha, self.iterations, self.tolerance
-        shared = docs.sparkSession.sparkContext.broadcast(beta)  # k x vocab_size, vocab_size <= VOCAB_SIZE
+        shared = docs.sparkSession.sparkContext.broadcast(beta)  # k numbers a term
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b = shared.value
             total, n = np.zeros_like(b), 0
             for pdf in batches:
-                for ids, counts in zip(pdf["ids"], pdf["counts"]):
-                    ids = np.asarray(ids)
-                    if len(ids):
-                        total[:, ids] += _fit_document(ids, np.asarray(counts), b, alpha, limit, tol)[1]
-                    n += 1
+                n += len(pdf)
+                for _, ids, counts in _batches(pdf):
+                    _, terms, expected = _fit_documents(ids, counts, b, alpha, limit, tol)
+                    np.add.at(total.T, terms, expected)
             at = np.flatnonzero(total.any(0))
             yield pd.DataFrame({"term_id": np.r_[at, -1], "vector": [*total[:, at].T, np.r_[n, np.zeros(len(alpha) - 1)]]})
 
@@ -180,36 +200,62 @@ class OnlineLda:
         shared = docs.sparkSession.sparkContext.broadcast(beta)
 
         def theta(ids: pd.Series, counts: pd.Series) -> pd.Series:
-            out = []
-            for i, c in zip(ids, counts):
-                g = _fit_document(np.asarray(i, dtype=int), np.asarray(c), shared.value, alpha, limit, tol)[0] if len(i) else alpha
-                out.append(g / g.sum())
-            return pd.Series(out)
+            out = np.tile(alpha / alpha.sum(), (len(ids), 1))
+            for at, i, c in _batches(pd.DataFrame({"ids": ids, "counts": counts})):
+                gamma = _fit_documents(i, c, shared.value, alpha, limit, tol)[0]
+                out[at] = gamma / gamma.sum(1, keepdims=True)
+            return pd.Series(list(out))
 
         return docs.select(doc_id, F.pandas_udf(theta, "array<double>")("ids", "counts").alias("theta"))
 
+    def topic_shares(self) -> np.ndarray:
+        return self.lam / self.lam.sum(1, keepdims=True)
+
+    def bound(self, docs: DataFrame) -> float:
+        """Variational lower bound of the log likelihood per word of `docs`, in nats; the topics' own term counts once."""
+        log_beta, alpha, limit, tol = _expectation(self.lam), self.alpha, self.iterations, self.tolerance
+        shared = docs.sparkSession.sparkContext.broadcast(log_beta)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lb = shared.value
+            total = words = 0.0
+            for pdf in batches:
+                for _, ids, counts in _batches(pdf):
+                    gamma, terms, _ = _fit_documents(ids, counts, np.exp(lb), alpha, limit, tol)
+                    n, log_theta = np.concatenate(counts), _expectation(gamma)
+                    doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+                    total += float(n @ np.log(np.exp(log_theta[doc] + lb.T[terms]).sum(1) + 1e-300))
+                    total += float(((alpha - gamma) * log_theta).sum() + (_log_gamma(gamma) - _log_gamma(alpha)).sum())
+                    total += float(len(ids) * math.lgamma(alpha.sum()) - _log_gamma(gamma.sum(1)).sum())
+                    words += float(n.sum())
+            yield pd.DataFrame({"total": [total], "words": [words]})
+
+        total, words = docs.select("ids", "counts").mapInPandas(score, "total double, words double").agg(F.sum("total"), F.sum("words")).first()
+        own = float(((self.eta - self.lam) * log_beta).sum() + (_log_gamma(self.lam) - math.lgamma(self.eta)).sum())
+        own += float(self.k * math.lgamma(self.eta * self.vocab_size) - _log_gamma(self.lam.sum(1)).sum())
+        return ((total or 0.0) + own * min(1.0, docs.count() / max(1, self.seen))) / max(1.0, words or 0.0)
+
 
 def chunk_documents(runs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids, counts) for `OnlineLda`."""
     pairs = runs.join(vocab.select("token", "term_id"), "token").groupBy(doc_id).agg(
-        F.array_sort(F.collect_list(F.struct("term_id", F.col("tf").cast("double").alias("c")))).alias("_p"))
+        F.sort_array(F.collect_list(F.struct("term_id", F.col("tf").cast("double").alias("c")))).alias("_p"))
     return pairs.select(doc_id, F.col("_p.term_id").alias("ids"), F.col("_p.c").alias("counts"))
 
 
 # ---------------------------------------------------------------- number of topics, topics over time
-def choose_topic_count(docs: DataFrame, features: DataFrame, vectorizer: CountVectorizerModel, candidates: list[int],
-                       measure: str = "u_mass", seed: int = 0, topn: int = 10) -> DataFrame:
+def choose_topic_count(docs: DataFrame, chunks: DataFrame, vocab: DataFrame, candidates: list[int],
+                       measure: str = "u_mass", seed: int = 0, topn: int = 10, **options) -> DataFrame:
     """(k, perplexity, coherence) per candidate: fits scored by held-out bound and topic coherence."""
     from vectorloom.operators.coherence import coherence
-    from vectorloom.operators.weight import hashed_split
 
-    train, test = hashed_split(cut(features.select("doc_id", "features")), ["doc_id"], 0.9, seed)
-    out = []
+    train, test = hashed_split(cut(chunks), ["doc_id"], 0.9, seed)
+    size, out = vocab.count(), []
     for k in candidates:
-        model = lda_fit(train, k, seed=seed)
-        best = show_topics(topic_terms_table(model, vectorizer), topn).select("topic", (F.col("rank") - 1).alias("rank"), "token")
-        out.append((k, lda_perplexity(model, test)[1], coherence(docs, cut(best), measure).first()[0]))
-    return features.sparkSession.createDataFrame(out, "k int, perplexity double, coherence double")
+        model = lda_fit(train, size, k, seed=seed, **options)
+        best = show_topics(topic_terms_table(model, vocab), topn).select("topic", (F.col("rank") - 1).alias("rank"), "token")
+        out.append((k, float(lda_perplexity(model, test)[1]), float(coherence(docs, cut(best), measure).first()[0])))
+    return chunks.sparkSession.createDataFrame(out, "k int, perplexity double, coherence double")
 
 
 def topic_evolution(word_shares: DataFrame, slices: DataFrame, chain: float = 0.5, doc_id: str = "doc_id",

@@ -22,11 +22,11 @@ def token_runs(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens")
     The sorted token array is cut where the value changes; each run start is a distinct token and the
     gap to the next start is its count.
     """
-    sorted_docs = docs.select(doc_id, F.array_sort(F.col(tokens)).alias("_s")).filter(F.size("_s") > 0)
+    sorted_docs = docs.select(doc_id, F.sort_array(F.col(tokens)).alias("_s"))
     starts = sorted_docs.withColumn(
         "_starts",
-        F.filter(F.sequence(F.lit(1), F.size("_s")),
-                 lambda i: (i == 1) | (F.get(F.col("_s"), i - 1) != F.get(F.col("_s"), i - 2))))
+        F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(1), F.size("_s")),
+                                          lambda i: (i == 1) | (F.get(F.col("_s"), i - 1) != F.get(F.col("_s"), i - 2)))))
     runs = F.transform(
         F.col("_starts"),
         lambda at, k: F.struct(
@@ -37,7 +37,7 @@ def token_runs(docs: DataFrame, doc_id: str = "doc_id", tokens: str = "tokens")
 
 def token_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """df and cf per token in one pass and one shuffle with map-side combine."""
-    flagged = docs.select(F.array_sort(F.col(tokens)).alias("_s")).select(
+    flagged = docs.select(F.sort_array(F.col(tokens)).alias("_s")).select(
         F.explode(F.transform(
             F.col("_s"),
             lambda t, i: F.struct(t.alias("token"),

@@ -86,7 +86,7 @@ def vocab_transform(rows: DataFrame, old2new: DataFrame, key: str = "term_id") -
 # ---------------------------------------------------------------- packing
 def pack(rows: DataFrame, doc_id: str = "doc_id", key: str = "term_id", value: str = "weight") -> DataFrame:
     """One row per document: parallel arrays of ids and values, ordered by id."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
     return rows.groupBy(doc_id).agg(pairs.alias("_p")).select(
         doc_id, F.col("_p.k").alias("ids"), F.col("_p.v").alias("weights"))
 
@@ -108,7 +108,7 @@ def dense_to_sparse(rows: DataFrame, vector: str, doc_id: str = "doc_id", eps: f
 def dense_to_top_n(rows: DataFrame, vector: str, n: int, doc_id: str = "doc_id", eps: float = 1e-9) -> DataFrame:
     """The n components of largest absolute value, chosen inside each row."""
     entries = F.transform(F.col(vector).cast("array<double>"), lambda x, i: F.struct((-F.abs(x)).alias("o"), i.alias("i"), x.alias("x")))
-    best = F.slice(F.array_sort(entries), 1, n)
+    best = F.slice(F.sort_array(entries), 1, n)
     return (rows.select(doc_id, F.explode(best).alias("_e"))
             .select(doc_id, F.col("_e.i").alias("term_id"), F.col("_e.x").alias("weight"))
             .filter(F.abs("weight") > eps))

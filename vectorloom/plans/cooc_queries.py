@@ -33,7 +33,7 @@ def _(spark, d):
     return ph.phrase_counts(documents(spark, d))
 
 
-@query("phrase_scores", f"WITH {PHRASES} SELECT a, b, count, round(score, 6) AS score FROM ph")
+@query("phrase_scores", f"WITH {JOINED} SELECT a, b, count, round(score, 6) AS score FROM ph SEMI JOIN (SELECT a, b FROM kept JOIN bg USING (doc_id, pos)) USING (a, b)")
 def _(spark, d):
     return phrases(spark, d)[1].select("a", "b", "count", r6(F.col("score"), "score"))
 

@@ -96,7 +96,7 @@ def _(spark, d):
 
 @query("eval_wordrep",
        f"WITH {EMB}, p AS (SELECT 'label' || CAST(label AS VARCHAR) AS category, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS pos, "
-       "word AS l, 'w' || lpad(CAST(idx + 1 AS VARCHAR), 8, '0') AS r FROM emb), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY category ORDER BY pos) <= 6), "
+       "word AS l, 'w' || lpad(CAST(idx + 1 AS VARCHAR), 8, '0') AS r FROM emb), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY category ORDER BY pos) <= 1000), "
        "q AS (SELECT x.category || '|' || x.pos || '|' || y.pos AS query_id, x.l AS a, x.r AS b, y.l AS c, y.r AS answer, x.category "
        f"FROM k x JOIN k y ON x.category = y.category AND x.pos <> y.pos), {MEAN}, {_predict_sql('v')}, {_acc_sql()}")
 def _(spark, d):
@@ -106,7 +106,7 @@ def _(spark, d):
     pos = F.row_number().over(W.partitionBy("label").orderBy("idx")) - 1
     pairs = e.select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("category"), pos.alias("pos"),
                      F.col("word").alias("left"), word_of(F.col("idx") + 1).alias("right"))
-    return ev.eval_wordrep(pairs, e, max_pairs=6)
+    return ev.eval_wordrep(pairs, e)
 
 
 @query("eval_semeval_relations",
@@ -194,7 +194,7 @@ def _(spark, d):
 def _(spark, d):
     q = questions(spark, d)
     train, test = w.hashed_split(q, ["query_id"], 0.85)
-    return ev.learned_analogy(train, test, embedding(spark, d), steps=5)
+    return ev.learned_analogy(train, test, embedding(spark, d), steps=50)
 
 
 def _half(e):

@@ -13,7 +13,8 @@ from vectorloom.functions.text import simple_preprocess
 from vectorloom.runtime import cut, scratch_dir
 from vectorloom.streaming import incremental as inc
 
-STEPS = 3
+#: Most steps of a training; it ends earlier when the loss settles (factor.TOLERANCE).
+STEPS = 30
 
 
 def _vectors(state, losses, f="U"):
@@ -28,12 +29,12 @@ def _(spark, d):
 
 @query("cp_sals")
 def _(spark, d):
-    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 2))
+    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 10))
 
 
 @query("cp_2sgd")
 def _(spark, d):
-    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 2, sequential=False))
+    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 10, sequential=False))
 
 
 @query("cp_symmetric")
@@ -70,19 +71,16 @@ def _(spark, d):
 
 @query("hosg")
 def _(spark, d):
-    ids, _ = id_docs(spark, d)
-    w = c.context_windows(ids, 1, fixed_size=True)
-    near = w.select("target", F.posexplode("context").alias("k", "j"))
-    true = near.groupBy(F.col("target").alias("i"), "j", F.col("k").cast("long").alias("k")).agg(F.count("*").cast("double").alias("weight"))
-    flipped = true.select("i", "j", (1 - F.col("k")).alias("k"), "weight").join(true.select("i", "j", "k"), ["i", "j", "k"], "left_anti")
-    rows = true.withColumn("value", F.lit(1.0)).unionByName(flipped.withColumn("value", F.lit(0.0)))
-    return _vectors(*fa.hosg(rows, 8, STEPS))
+    ids, vocab = id_docs(spark, d)
+    windows = c.context_windows(ids, 2, fixed_size=True)
+    near = windows.select("doc_id", "pos", "target", F.posexplode("context").alias("k", "context"))
+    return _vectors(*fa.hosg(fa.hosg_rows(near, vocab, 2), 8, STEPS))
 
 
 @query("cbow")
 def _(spark, d):
     ids, vocab = id_docs(spark, d)
-    return _vectors(*fa.cbow(c.context_windows(ids, 2, fixed_size=True), vocab, 8, 2, negatives=2), f="C")
+    return _vectors(*fa.cbow(c.context_windows(ids, 2, fixed_size=True), vocab, 8, STEPS, negatives=2), f="C")
 
 
 @query("word2vec")
@@ -99,7 +97,8 @@ def _(spark, d):
 @query("infer_vectors")
 def _(spark, d):
     ids, vocab = id_docs(spark, d)
-    outputs = fa.random_embedding(vocab.select("term_id"), 8, key="term_id").select(F.col("term_id").alias("idx"), "vector")
+    outputs = fa.random_embedding(vocab.select("term_id"), 8, key="term_id").join(vocab.select("term_id", "count"), "term_id").select(
+        F.col("term_id").alias("idx"), "vector", "count")
     return fa.infer_vectors(ids, outputs, 8).select("doc_id", F.posexplode("vector").alias("dim", "value"))
 
 
@@ -184,16 +183,16 @@ def _(spark, d):
 @query("stream_lda_update")
 def _(spark, d):
     docs = documents(spark, d)
-    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, 1000))
+    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, None))
     stream, state = doc_stream(spark, d, "sl")
-    inc.stream_lda_update(stream, state, vocab, tp.OnlineLda(6, 1000, iterations=20, seed=1))
+    inc.stream_lda_update(stream, state, vocab, tp.OnlineLda(6, vocab.count(), seed=1))
     return inc.latest(spark, f"{state}/model").select("topic", F.posexplode("weights").alias("term_id", "weight"), "updates", "seen")
 
 
 @query("stream_lsi_update")
 def _(spark, d):
     docs = documents(spark, d)
-    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, 500))
+    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, None))
     stream, state = doc_stream(spark, d, "si")
     inc.stream_lsi_update(stream, state, vocab, 5, 0.9)
     return inc.latest(spark, f"{state}/model").select("term_id", F.posexplode("vector").alias("topic", "weight"))

@@ -12,12 +12,9 @@ from vectorloom.plans.registry import OCC, documents, query, r6, table
 from vectorloom.plans.search_queries import _WORDVEC, word_vectors
 from vectorloom.runtime import cut
 
-KEEP = 2000
-
-
 def _tfidf_ids(spark, d):
     docs = documents(spark, d)
-    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, KEEP))
+    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, None))
     return w.tfidf(v.doc2bow(docs, vocab), vocab, docs.count()), vocab, docs
 
 
@@ -57,42 +54,43 @@ def _(spark, d):
     return e.select("idx", F.posexplode("vector").alias("dim", "value"), F.lit(rmse).alias("rmse"))
 
 
-def _lda(spark, d, k=8):
+def _lda(spark, d, k=8, share=1.0):
+    """(documents, chunks fitted on, the other chunks, vocabulary, model)."""
     docs = documents(spark, d)
-    features, vectorizer = tp.vectorize(docs, KEEP, 5, 0.5)
-    features = cut(features.select("doc_id", "tokens", "features"))
-    return docs, features, vectorizer, tp.lda_fit(features, k, chunk_share=0.25)
+    chunks, vocab = tp.vectorize(docs)
+    train, rest = w.hashed_split(chunks, ["doc_id"], share)
+    return docs, train, rest, vocab, tp.lda_fit(cut(train), vocab.count(), k, passes=2)
 
 
 @query("lda_fit")
 def _(spark, d):
-    _, _, vectorizer, model = _lda(spark, d)
-    return tp.show_topics(tp.topic_terms_table(model, vectorizer), 10)
+    *_, vocab, model = _lda(spark, d)
+    return tp.show_topics(tp.topic_terms_table(model, vocab), 10)
 
 
 @query("lda_transform")
 def _(spark, d):
-    _, features, _, model = _lda(spark, d)
-    return tp.lda_transform(model, features)
+    _, chunks, _, _, model = _lda(spark, d)
+    return tp.lda_transform(model, chunks)
 
 
 @query("lda_word_topics")
 def _(spark, d):
-    docs, features, vectorizer, model = _lda(spark, d)
-    return tp.word_topics(tp.lda_transform(model, features), v.token_runs(docs), tp.topic_terms_table(model, vectorizer))
+    docs, chunks, _, vocab, model = _lda(spark, d)
+    return tp.word_topics(tp.lda_transform(model, chunks), v.token_runs(docs), tp.topic_terms_table(model, vocab))
 
 
 @query("lda_perplexity")
 def _(spark, d):
-    _, features, _, model = _lda(spark, d)
-    return spark.createDataFrame([tp.lda_perplexity(model, features)], "bound double, perplexity double")
+    _, _, held_out, _, model = _lda(spark, d, share=0.8)
+    return spark.createDataFrame([tp.lda_perplexity(model, held_out)], "bound double, perplexity double")
 
 
 @query("choose_topic_count")
 def _(spark, d):
     docs = documents(spark, d)
-    features, vectorizer = tp.vectorize(docs, KEEP, 5, 0.5)
-    return tp.choose_topic_count(docs, features, vectorizer, [4, 8])
+    chunks, vocab = tp.vectorize(docs)
+    return tp.choose_topic_count(docs, chunks, vocab, [4, 8])
 
 
 # topics given by the data: word shares per language
@@ -101,11 +99,10 @@ _LT = (f"{OCC}, lt AS (SELECT lang AS topic, token, round(count(*) * 1.0 / sum(c
 
 
 def language_topics(spark, d):
-    from pyspark.sql import Window as W
-
     langs = table(spark, d, "documents").select("doc_id", "lang")
     n = v.token_runs(documents(spark, d)).join(langs, "doc_id").groupBy(F.col("lang").alias("topic"), "token").agg(F.sum("tf").alias("n"))
-    return n.select("topic", "token", F.round(F.col("n") / F.sum("n").over(W.partitionBy("topic")), 12).alias("prob"))
+    total = n.groupBy("topic").agg(F.sum("n").alias("total"))
+    return n.join(F.broadcast(total), "topic").select("topic", "token", F.round(F.col("n") / F.col("total"), 12).alias("prob"))  # a row a language
 
 
 @query("show_topics", f"WITH {_LT} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY prob DESC, token) AS rank, token, round(prob, 6) AS prob "
@@ -148,9 +145,9 @@ def _(spark, d):
 @query("online_lda")
 def _(spark, d):
     docs = documents(spark, d)
-    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, KEEP))
+    vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, None))
     chunks = cut(tp.chunk_documents(v.token_runs(docs), vocab))
-    model = tp.OnlineLda(8, KEEP, seed=1)
+    model = tp.OnlineLda(8, vocab.count(), seed=1)
     first, second = w.hashed_split(chunks, ["doc_id"], 0.5)
     model.update(first).update(second)
     return model.transform(chunks).select("doc_id", F.posexplode("theta").alias("topic", "prob"))

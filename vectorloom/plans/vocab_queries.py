@@ -102,11 +102,11 @@ def _(spark, d):
 
 @query("vocab_from_bow",
        "WITH c AS (SELECT l_partkey AS term_id, count(*) AS df, CAST(sum(l_quantity) AS BIGINT) AS cf FROM lineitem "
-       "WHERE l_returnflag = 'R' GROUP BY l_partkey) "
+       "GROUP BY l_partkey) "
        "SELECT r.term_id, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf FROM "
        "(SELECT unnest(range(0, (SELECT max(term_id) + 1 FROM c))) AS term_id) r LEFT JOIN c ON c.term_id = r.term_id")
 def _(spark, d):
-    bow = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(
+    bow = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("term_id"), F.col("l_quantity").alias("tf"))
     return v.vocab_from_bow(bow)
 

@@ -68,7 +68,7 @@ def read_text8(spark: SparkSession, path: str, max_sentence_length: int = MAX_SE
     clean = words.select("line", "_k", F.regexp_replace(F.lower("value"), TEXT8_STRIPPED, "").alias("token"))
     placed = dense_ids(clean, [F.col("line"), F.col("_k")], "_pos")
     return (placed.groupBy(F.floor(F.col("_pos") / max_sentence_length).alias("sentence"))
-            .agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_s"))  # N tokens per group
+            .agg(F.sort_array(F.collect_list(F.struct("_pos", "token"))).alias("_s"))  # N tokens per group
             .select("sentence", F.col("_s.token").alias("tokens")))
 
 

@@ -59,7 +59,7 @@ def write_uci(rows: DataFrame, path: str, num_docs: int | None = None, num_terms
 
 def _entries(rows: DataFrame, docs: DataFrame | None, entry) -> DataFrame:
     """(doc_id, n, text): each document's entries joined by blanks; `docs` adds documents without entries."""
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", entry.alias("e")))).alias("_p")).select(
+    packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", entry.alias("e")))).alias("_p")).select(
         "doc_id", F.size("_p").alias("n"), F.array_join(F.col("_p.e"), " ").alias("text"))
     if docs is None:
         return packed
