@@ -72,7 +72,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def named_runs(rows: DataFrame, length: int) -> DataFrame:
-    """(row, of, run, core, name1, name2): runs packed as lo << 18 | suffixes << 9 | offset; rows with `of` are copies of that row."""
+    """(row, of, run, core, name1, name2, known): runs packed as lo << 18 | suffixes << 9 | offset; rows with `of` are copies of that row.
+
+    known: 1 for a run whose name occurs again in its block of texts, 2 for those further occurrences, which are settled and get a
+    place of their own in the shuffle, so that text that repeats itself thousands of times makes no hot position.
+    """
     def name(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -92,28 +96,36 @@ def named_runs(rows: DataFrame, length: int) -> DataFrame:
                 base = bounds[text] - np.array([len(t) for _, t in sent], np.int64)[text] if len(text) else text
                 reach = min(REACH, length - GRAM + 1)
                 owner = np.array([r for r, _ in sent], np.int64)[text] if len(text) else text
+                run, core = (lo - base) << 18 | (hi - lo + 1) << 9 | (chosen - lo), hashes.hashes(chosen, chosen + length - reach + 1)
+                one, two = hashes.hashes(lo, hi + length), hashes.hashes(lo, hi + length, 1)
+                # equal names of a block settle each other here; only the first of them is compared with other blocks
+                order = np.lexsort((two, one))
+                again = np.concatenate(([False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])))[:len(order)]
+                known = np.zeros(len(order), np.int32)
+                known[order] = np.where(again, 2, np.append(again[1:], False).astype(np.int32)) if len(order) else known
+                apart = mixed((owner * 0x9E3779B1 ^ run).astype(np.uint64)).view(np.int64)
                 extra = np.full(len(copies), -1, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate((owner, np.array([c for c, _ in copies], np.int64)))),
                     pa.array([None] * len(owner) + [o for _, o in copies], pa.int64()),
-                    pa.array(np.concatenate(((lo - base) << 18 | (hi - lo + 1) << 9 | (chosen - lo), extra))),
-                    pa.array(np.concatenate((hashes.hashes(chosen, chosen + length - reach + 1), extra))),
-                    pa.array(np.concatenate((hashes.hashes(lo, hi + length), extra))),
-                    pa.array(np.concatenate((hashes.hashes(lo, hi + length, 1), extra)))],
-                    names=["row", "of", "run", "core", "name1", "name2"])
+                    pa.array(np.concatenate((run, extra))), pa.array(np.concatenate((np.where(known == 2, apart, core), extra))),
+                    pa.array(np.concatenate((one, extra))), pa.array(np.concatenate((two, extra))),
+                    pa.array(np.concatenate((known, extra.astype(np.int32))))],
+                    names=["row", "of", "run", "core", "name1", "name2", "known"])
 
-    return rows.select("row", "text").mapInArrow(name, "row long, of long, run long, core long, name1 long, name2 long")
+    return rows.select("row", "text").mapInArrow(name, "row long, of long, run long, core long, name1 long, name2 long, known int")
 
 
 def settle(runs: DataFrame) -> DataFrame:
     """(row, runs): of each row its runs that may be repeated, with state run << 2 | s: 0 open, 1 repeated, 2 repeated and asked as a witness."""
     order = W.partitionBy("core").orderBy("name1", "name2")
     same = lambda step: (step("name1").over(order) == F.col("name1")) & (step("name2").over(order) == F.col("name2"))
-    compared = runs.select("row", "run", "core", "name1", "name2").withColumns({
+    compared = runs.select("row", "run", "core", "name1", "name2", "known").withColumns({
         "before": F.coalesce(same(F.lag), F.lit(False)), "after": F.coalesce(same(F.lead), F.lit(False)),
-        "alone": F.lag("row").over(order).isNull() & F.lead("row").over(order).isNull()})
-    kept = compared.filter("not alone").withColumn("open", F.max((~(F.col("before") | F.col("after"))).cast("int")).over(W.partitionBy("core")) == 1)
-    state = F.when(~(F.col("before") | F.col("after")), 0).when(F.col("open") & ~F.col("before"), 2).otherwise(1)
+        "alone": F.lag("row").over(order).isNull() & F.lead("row").over(order).isNull() & (F.col("known") == 0)})
+    repeated = F.col("before") | F.col("after") | (F.col("known") > 0)
+    kept = compared.filter("not alone").withColumn("open", F.max((~repeated).cast("int")).over(W.partitionBy("core")) == 1)
+    state = F.when(~repeated, 0).when(F.col("open") & ~F.col("before") & (F.col("known") < 2), 2).otherwise(1)
     packed = kept.select("row", (F.shiftleft("run", 2) + state).alias("run"))
     return packed.groupBy("row").agg(F.sort_array(F.collect_set("run")).alias("runs"))  # the runs of one text
 
