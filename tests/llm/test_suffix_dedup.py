@@ -47,3 +47,22 @@ def test_planted_passages_at_all_offsets(written, monkeypatch):
 
 def test_no_rows(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_suffix_ranks():
+    import numpy as np
+
+    from vectorloom.llm.difference_cover import repeated_prefixes, suffix_ranks
+
+    rng = random.Random(3)
+    for _ in range(200):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40)))
+        need = rng.choice([1, 2, 5, 9, 100])
+        ranks = suffix_ranks(np.frombuffer(text, np.uint8).astype(np.int64) + 1, need)
+        for i in range(len(text)):
+            for j in range(len(text)):
+                if text[i:i + need] < text[j:j + need]:
+                    assert ranks[i] < ranks[j]
+        starts = np.array([i for i in range(len(text)) if i + need <= len(text)], np.int64)
+        want = [sum(text[i:i + need] == text[j:j + need] for j in starts) > 1 for i in starts]
+        assert repeated_prefixes(np.frombuffer(text, np.uint8), starts, need).tolist() == want

@@ -1,18 +1,17 @@
-"""Removal of every byte that a long repeated substring covers, by sorting sampled suffixes and merging the others into their order.
-
-The method is a difference-cover suffix sort whose order is only needed to `length` bytes, since two suffixes matter to each other only if
-their first `length` bytes are equal:
-
-1. Cover. A difference cover samples positions such that any two suffixes reach sampled positions after the same number of bytes. Here
-   the sample is chosen by content (the least k-gram of every REACH successive ones), which has the same property for suffixes whose
-   first `length` bytes are equal, at a third to a tenth of the density that a cover by position needs. Each suffix belongs to the
-   sampled position that its first bytes choose, so a sampled position owns a run of consecutive suffixes.
-2. Names. A run is named by a 128-bit hash of all the bytes that decide about its suffixes, the bytes behind the sampled position by
-   another hash. Runs are sorted by these names and compared with their neighbours: equal names settle whole runs as repeated, and
-   a position whose own bytes are unique settles its run as unique.
-3. Merge. What remains are the runs in which a repeat begins or ends. Their suffixes go, with one settled run of each name that could match
-   them, to the cell of their sampled position, are sorted by their first `length` bytes, and neighbours are compared.
-4. The repeated starts of each document give the removed bytes in one scan of its text.
+"""Removal of every byte that a long repeated substring covers, by a distributed difference-cover suffix sort.
+
+Two suffixes matter to each other only if their first `length` bytes are equal, so the suffixes are first dealt to cells in which all equal
+ones meet, and runs of suffixes that need no sorting are settled on the way:
+
+1. Deal. Of every REACH successive k-grams the one with the least hash is chosen. What a suffix chooses depends on its first `length` bytes
+   only, so suffixes that agree in them choose alike. A chosen position owns a run of consecutive suffixes and is the key of its cell.
+2. Settle. A run is named by a 128-bit hash of all bytes that decide about its suffixes. Runs are sorted by position and name and compared
+   with their neighbours: equal names settle whole runs as repeated, a position without a second one settles its run as unique.
+3. Sort. What remains are the runs in which a repeat begins or ends, with one settled run of each name that could match them. The bytes
+   of a cell are one string whose suffixes are ranked by the difference cover modulo 3 (difference_cover.py): sampled triples are
+   sorted and named, the names are sorted by recursion until they span `length` bytes, the other suffixes are merged, and the first
+   `length` bytes of neighbours are compared.
+4. Remove. The repeated starts of each document give the removed bytes in one scan of its text.
 
 Rows that move are runs (one for about 60 bytes), never bytes or suffixes. Equal texts of one task send their runs twice at most. A sampled
 position in very many unsettled runs is not put into one cell: its suffixes are counted by name over all tasks.
@@ -37,12 +36,13 @@ from pyspark.sql import types as T
 
 from vectorloom.llm.anchors import Substrings, window_picks
 from vectorloom.llm.common import cut, gather_ranges, prepare, small_enough, texts_in_blocks
+from vectorloom.llm.difference_cover import repeated_prefixes
 from vectorloom.llm.shingles import mixed
 
 #: Bytes of a repeat, of the k-grams that choose positions, and successive k-grams of which one is chosen.
 LENGTH, GRAM, REACH = 200, 16, 150
 #: Runs of one cell, and unsettled runs of one position from which its suffixes are counted by name.
-CELL_RUNS, CROWD = 8000, 4000
+CELL_RUNS, CROWD = 3000, 3000
 
 
 def runs_of(data: np.ndarray, sizes: list[int], length: int) -> tuple[np.ndarray, ...]:
@@ -183,12 +183,11 @@ def merged(opened: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame({"row": rows[first], "start": starts[first], "n": np.diff(np.append(first, len(rows)))})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        run, place, a, b = _suffixes(frame, length)
-        order = np.lexsort((b, a))
-        equal = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        hit = np.zeros(len(run), bool)
-        hit[order[1:][equal]] = True
-        hit[order[:-1][equal]] = True
+        n = frame["n"].to_numpy(np.int64)
+        sizes = np.array([len(p) for p in frame["part"]])
+        starts, place = gather_ranges(np.cumsum(sizes) - sizes, n), gather_ranges(np.zeros(len(n), np.int64), n)
+        hit = repeated_prefixes(np.frombuffer(b"".join(frame["part"]), np.uint8), starts, length)
+        run = np.repeat(np.arange(len(frame)), n)
         lo = frame["lo"].to_numpy(np.int64)[run]
         hit &= lo >= 0
         return stretches(frame["row"].to_numpy(np.int64)[run[hit]], lo[hit] + place[hit])
