@@ -130,10 +130,10 @@ def relaxed_wmd(pairs: DataFrame, counted: DataFrame, embedding: DataFrame, doc_
         x, y = np.asarray(fa).reshape(len(na), -1), np.asarray(fb).reshape(len(nb), -1)
         near_x, near_y = np.full(len(x), np.inf), np.full(len(y), np.inf)
         for at in range(0, len(x), 512):
-            d = np.sqrt(np.maximum(((x[at:at + 512, None, :] - y[None, :, :]) ** 2).sum(-1), 0)) \
-                if len(y) <= 512 else _far(x[at:at + 512], y)
-            near_x[at:at + 512] = d.min(1)
-            near_y = np.minimum(near_y, d.min(0))
+            for to in range(0, len(y), 512):  # blocks of differences: exact near zero, of bounded size
+                d = np.sqrt(((x[at:at + 512, None, :] - y[None, to:to + 512, :]) ** 2).sum(-1))
+                near_x[at:at + 512] = np.minimum(near_x[at:at + 512], d.min(1))
+                near_y[to:to + 512] = np.minimum(near_y[to:to + 512], d.min(0))
         return float(max((near_x * (na / np.sum(na))).sum(), (near_y * (nb / np.sum(nb))).sum()))
 
     def distances(batch_na: pd.Series, batch_fa: pd.Series, batch_nb: pd.Series, batch_fb: pd.Series) -> pd.Series:
@@ -141,7 +141,3 @@ def relaxed_wmd(pairs: DataFrame, counted: DataFrame, embedding: DataFrame, doc_
 
     d = F.pandas_udf(distances, "double")("_na", "_fa", "_n", "_f")
     return both.select("a", "b", d.alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))
-
-
-def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))

@@ -475,6 +475,23 @@ def doc_vectors(docs: DataFrame, counts: DataFrame, rank: int, steps: int = 10,
     return train([(rows, {"i": "D", "j": "V"}, 1.0)], settings, steps, "logistic", initial_state(names, settings, 0.0, 1 / math.sqrt(rank)))
 
 
+def doc_vectors_dm(windows: DataFrame, counts: DataFrame, rank: int, steps: int = 10, mean: bool = True, doc_id: str = "doc_id",
+                   **options) -> tuple[DataFrame, list[float]]:
+    """Distributed-memory document vectors: the mean (or sum) of a document's vector and its context words predicts the target.
+
+    `windows(doc_id, pos, target, context[])`. Documents are further inputs of `cbow` under the ids -(doc_id + 1), so factor C holds words
+    (idx >= 0) and documents (idx < 0), and O the outputs.
+    """
+    own = F.array((-(F.col(doc_id) + 1)).cast("bigint"))
+    joined = windows.withColumn("context", F.concat(F.col("context").cast("array<bigint>"), own))
+    return cbow(joined, counts, rank, steps, mean=mean, **options)
+
+
+def document_table(state: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, vector) of a state of `doc_vectors_dm`."""
+    return state.filter((F.col("f") == "C") & (F.col("idx") < 0)).select((-F.col("idx") - 1).alias(doc_id), F.col("vec").alias("vector"))
+
+
 def sentence_log_prob(pairs: DataFrame, words: DataFrame, contexts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, log_prob): sum over (target, context) pairs of log sigmoid(u.v)."""
     u = words.select(F.col("idx").alias("target"), F.col("vector").alias("_u"))

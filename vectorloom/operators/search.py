@@ -285,12 +285,14 @@ def doesnt_match(groups: DataFrame, embedding: DataFrame, word: str = "word", ve
 
 # ---------------------------------------------------------------- approximate search
 def approx_nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, dim: int,
-                   vector: str = "vector", tables: int = 12, bits: int = 8, seed: int = 7,
+                   vector: str = "vector", tables: int = 12, bits: int | None = None, seed: int = 7,
                    drop_self: bool = False) -> DataFrame:
     """Random-hyperplane LSH: rows meet in buckets of equal sign patterns, several tables; scores are exact cosines.
 
+    By default the number of bits grows with the logarithm of the index, so that a bucket keeps about 64 rows at any size.
     Buckets larger than a block are split, so one crowded bucket does not become one task.
     """
+    bits = bits if bits is not None else min(40, max(4, (index.count() // 64).bit_length()))
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
     weights = 1 << np.arange(bits)
 
@@ -307,6 +309,14 @@ def approx_nearest(queries: DataFrame, index: DataFrame, k: int, query_id: str,
 
 
 # ---------------------------------------------------------------- reports on an embedding
+def neighbour_report(words: DataFrame, embedding: DataFrame, k: int = 10, word: str = "word") -> DataFrame:
+    """(word, neighbours): the k nearest words of each listed word, nearest first, as `name:cosine` joined by blanks."""
+    asked = words.select(F.col(word).alias("query_id"), F.col(word).alias("word"), F.lit(1.0).alias("weight"))
+    found = most_similar(asked, embedding, k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "hit_id", "score"))).alias("_l"))
+    shown = F.transform("_l", lambda x: F.format_string("%s:%.3f", x["hit_id"], x["score"]))
+    return found.select(F.col("query_id").alias(word), F.array_join(shown, " ").alias("neighbours"))
+
+
 def top_words_per_dimension(embedding: DataFrame, n: int, word: str = "word", vector: str = "vector") -> DataFrame:
     """The n words with the largest value in every dimension; the limit is applied before the shuffle too."""
     cells = embedding.select(word, F.posexplode(vx.as_double(F.col(vector))).alias("dim", "value"))
@@ -329,11 +339,11 @@ def top_dimensions_of_words(embedding: DataFrame, n_dims: int, n_words: int, wor
 def dimension_intruders(embedding: DataFrame, seed: int = 0, word: str = "word", vector: str = "vector") -> DataFrame:
     """Per dimension one word of its lower half that is in the top tenth of another dimension, drawn by hash."""
     cells = embedding.select(word, F.posexplode(vx.as_double(F.col(vector))).alias("dim", "value"))
-    n = embedding.count()
-    up, down = W.partitionBy("dim").orderBy(F.col("value").desc(), word), W.partitionBy("dim").orderBy("value", word)
-    ranked = cells.withColumn("_top", F.row_number().over(up)).withColumn("_low", F.row_number().over(down))
-    high = ranked.filter(F.col("_top") <= n // 10).groupBy(word).agg(F.collect_set("dim").alias("_dims"))
-    low = ranked.filter(F.col("_low") <= n // 2).select(word, "dim").join(high, word)
+    # thresholds of each dimension from mergeable sketches: no dimension is sorted in one task
+    limits = cells.groupBy("dim").agg(F.percentile_approx("value", [0.5, 0.9]).alias("_q"))
+    ranked = cells.join(F.broadcast(limits), "dim")  # a row for each dimension
+    high = ranked.filter(F.col("value") > F.col("_q")[1]).groupBy(word).agg(F.collect_set("dim").alias("_dims"))
+    low = ranked.filter(F.col("value") <= F.col("_q")[0]).select(word, "dim").join(high, word)
     elsewhere = low.filter(F.size(F.array_except("_dims", F.array("dim"))) > 0)
     draw = hash01(F.col(word), F.col("dim"), seed=seed)
     return elsewhere.groupBy("dim").agg(F.min_by(word, F.struct(draw, word)).alias("intruder"))

@@ -82,9 +82,8 @@ def filter_extremes(vocab: DataFrame, docs: DataFrame, no_below: int = 5, no_abo
     """Keep tokens with no_below <= df <= no_above * documents, then the keep_n most frequent; new ids."""
     kept = with_num_docs(vocab.drop("term_id"), docs).filter(
         (F.col("df") >= no_below) & (F.col("df") <= F.floor(F.col("num_docs") * no_above))).drop("num_docs")
-    if keep_n is not None:
-        kept = kept.orderBy(F.col("df").desc(), "token").limit(keep_n)
-    return assign_ids(kept)
+    numbered = assign_ids(kept)
+    return numbered if keep_n is None else numbered.filter(F.col("term_id") < keep_n)
 
 
 def filter_n_most_frequent(vocab: DataFrame, remove_n: int) -> DataFrame:

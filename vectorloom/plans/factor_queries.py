@@ -94,6 +94,13 @@ def _(spark, d):
     return _vectors(*fa.doc_vectors(ids, vocab, 8, STEPS, negatives=2), f="D")
 
 
+@query("doc_vectors_dm")
+def _(spark, d):
+    ids, vocab = id_docs(spark, d)
+    state, losses = fa.doc_vectors_dm(c.context_windows(ids, 2, fixed_size=True), vocab, 8, STEPS, negatives=2)
+    return fa.document_table(state).select("doc_id", F.posexplode("vector").alias("dim", "value"), F.lit(losses[-1] <= losses[0]).alias("improved"))
+
+
 @query("infer_vectors")
 def _(spark, d):
     ids, vocab = id_docs(spark, d)
@@ -130,7 +137,7 @@ def _(spark, d):
 def _(spark, d):
     docs = documents(spark, d)
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vector"))
-    vocab = v.assign_ids(v.most_frequent(v.word_counts(docs, 1), e.count()), by="count")
+    vocab = v.assign_ids(v.word_counts(docs, 1), by="count").filter(F.col("term_id") < e.count())
     pairs = c.context_windows(c.to_ids(docs, vocab), 2, fixed_size=False).select(
         "doc_id", "target", F.explode("context").alias("context"))
     return fa.sentence_log_prob(pairs, e, e).select("doc_id", F.round("log_prob", 5).alias("log_prob"))

@@ -211,24 +211,25 @@ def _(spark, d):
     section = F.concat(F.when(F.col("label") < 5, "gram").otherwise("topic"), F.col("label").cast("string"))
     heads = e.select("label").distinct().select("label", F.lit(-1).cast("long").alias("vec_id"), F.concat(F.lit(": "), section).alias("line"))
     asked = e.select("label", "vec_id", F.concat_ws(" ", *[F.concat(F.lit(p), F.col("vec_id").cast("string")) for p in "wxyz"]).alias("line"))
-    whole = heads.unionByName(asked).coalesce(1).sortWithinPartitions("label", "vec_id")  # a section lives in one file
+    whole = heads.unionByName(asked).repartitionByRange("label").sortWithinPartitions("label", "vec_id")  # a section lives in one file
     path = scratch_dir(spark, "questions")
     whole.select("line").write.text(path)
     return rd.read_analogy_questions(spark, path).drop("query_id")
 
 
 @query("read_outlier_groups",
-       "SELECT CAST(label AS VARCHAR) AS g, 'w' || vec_id AS word, vec_id % 9 = 8 AS is_outlier FROM embeddings")
+       "WITH e AS (SELECT label || '_' || vec_id // 200 AS g, 'w' || vec_id AS word, vec_id % 9 = 8 AS o FROM embeddings), "
+       "n AS (SELECT *, count(*) FILTER (NOT o) OVER (PARTITION BY g) AS c, row_number() OVER (PARTITION BY g, o ORDER BY word) - 1 AS r FROM e) "
+       "SELECT g, word, o AS is_outlier, CASE WHEN o THEN greatest(c, 1) + 1 + r ELSE r END AS pos FROM n")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 9 == 8).alias("o"))
-    word = F.concat(F.lit("w"), F.col("vec_id").cast("string"))
-    side = e.groupBy("label").agg(
-        F.array_join(F.collect_list(F.when(~F.col("o"), word)), "\n").alias("c"),
-        F.array_join(F.collect_list(F.when(F.col("o"), word)), "\n").alias("x"))
+    e = table(spark, d, "embeddings").select(
+        F.concat_ws("_", F.col("label").cast("string"), F.floor(F.col("vec_id") / 200).cast("string")).alias("g"),
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), (F.col("vec_id") % 9 == 8).alias("o"))
+    listed = lambda o: F.array_join(F.sort_array(F.collect_list(F.when(F.col("o") == o, F.col("word")))), "\n")  # noqa: E731  at most 200
     path = scratch_dir(spark, "outliers")
-    side.select("label", F.concat("c", F.lit("\n\n"), "x").alias("value")).write.partitionBy("label").text(path)
+    e.groupBy("g").agg(F.concat(listed(False), F.lit("\n\n"), listed(True)).alias("value")).write.partitionBy("g").text(path)
     files = rd.read_outlier_groups(spark, path + "/*")
-    return files.join(e.select(word.alias("word"), F.col("label").cast("string").alias("g")), "word").select("g", "word", "is_outlier")
+    return files.join(e.select("word", "g"), "word").select("g", "word", "is_outlier", F.col("pos").cast("long").alias("pos"))
 
 
 @query("read_labelled_words",

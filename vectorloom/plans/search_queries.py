@@ -148,7 +148,7 @@ _WORDVEC = (f"{OCC}, wv AS (SELECT token AS word, CAST(embedding AS DOUBLE[]) AS
 def word_vectors(spark, d):
     """The corpus' most frequent words, each given one row of the embeddings table by rank."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    ranked = v.assign_ids(v.most_frequent(v.word_counts(documents(spark, d), 1), e.count()), by="count")
+    ranked = v.assign_ids(v.word_counts(documents(spark, d), 1), by="count")  # the join keeps the ranks that have a vector
     return ranked.join(e, ranked.term_id == e.vec_id).select(F.col("token").alias("word"), F.col("term_id").alias("idx"), "vector")
 
 
@@ -252,6 +252,15 @@ def _(spark, d):
     return s.most_similar(analogy_inputs(spark, d), embedding(spark, d), 3, restrict_vocab=400)
 
 
+@query("neighbour_report",
+       f"WITH {EMB}, h AS (SELECT x.word, y.word AS hit, round({DOT.format('x.u', 'y.u')}, 6) AS score FROM un x JOIN un y ON x.idx <> y.idx WHERE x.idx % 5 = 0), "
+       "b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, hit) AS rank FROM h QUALIFY rank <= 3) "
+       "SELECT word, string_agg(printf('%s:%.3f', hit, score), ' ' ORDER BY rank) AS neighbours FROM b GROUP BY word")
+def _(spark, d):
+    e = embedding(spark, d)
+    return s.neighbour_report(e.filter(F.col("idx") % 5 == 0), e, 3)
+
+
 @query("most_similar_cosmul",
        f"WITH {EMB}, {_INP2}, c AS (SELECT query_id, un.word AS hit_id, inp.wgt, (1 + {DOT.format('inp.u', 'un.u')}) / 2 AS c FROM inp, un), "
        "h AS (SELECT query_id, hit_id, round(exp(sum(ln(c)) FILTER (wgt > 0)) / (exp(sum(ln(c)) FILTER (wgt < 0)) + 1e-6), 6) AS score FROM c GROUP BY ALL) "

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound, in rows, of a table that an operator may hand to `broadcast()` or pull to the driver.
 BROADCAST_ROWS = 200_000
+#: The same bound in bytes, for rows that hold arrays or long strings.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = 8, app: str = "vectorloom", **conf: str) -> SparkSession:
@@ -96,9 +98,17 @@ def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFram
     )
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when `df` has at most `rows` rows; looks at no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def _width(value) -> int:
+    return 16 + sum(map(_width, value)) if isinstance(value, (list, tuple)) else 16 + len(value) if isinstance(value, (str, bytes)) else 8
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when `df` has at most `rows` rows that take at most `size` bytes if they are as wide as the first; counts no further."""
+    first = df.first()
+    if first is None:
+        return True
+    most = min(rows, size // _width(tuple(first)))
+    return df.limit(most + 1).count() <= most
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
