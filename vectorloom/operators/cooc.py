@@ -10,7 +10,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.runtime import broadcast_if_small, dense_ids
+from vectorloom.runtime import broadcast_if_small, dense_ids, draw48
 
 MODES = ["i", "j", "k", "l"]
 
@@ -51,7 +51,7 @@ def skipgram_pairs(docs: DataFrame, window: int, seed: int = 1, ids: str = "ids"
     a, n = F.col(ids), F.size(ids)
 
     def near(p: Column) -> Column:
-        reach = F.lit(window) - F.pmod(F.xxhash64(F.col(doc_id), p, F.lit(seed)), F.lit(window)).cast("int")
+        reach = F.lit(window) - F.pmod(draw48(doc_id, p, seed=seed), F.lit(window)).cast("int")
         lo = F.greatest(p - reach, F.lit(0))
         around = F.concat(F.slice(a, lo + 1, p - lo), F.slice(a, p + 2, reach))
         return F.transform(around, lambda c: F.struct(p.alias("pos"), F.get(a, p).alias("target"), c.alias("context")))
@@ -135,13 +135,15 @@ def limit_large_vals(tensor: DataFrame, frequent: int = 15) -> DataFrame:
 
 
 def add_zero_samples(tensor: DataFrame, counts: DataFrame, vocab_size: int, share: float, seed: int = 1) -> DataFrame:
-    """share * nnz random sorted tuples that were never counted, with value 0."""
+    """Of share * nnz drawn sorted tuples the distinct ones that repeat no index and were never counted, with value 0."""
     modes = _modes(tensor)
     draws = int(share * tensor.count())
     picks = F.sort_array(F.array(*[
-        F.pmod(F.xxhash64("id", F.lit(m), F.lit(seed)), F.lit(vocab_size)).cast("long") for m in range(len(modes))]))
+        F.pmod(draw48("id", F.lit(m), seed=seed), F.lit(vocab_size)) for m in range(len(modes))]))
     drawn = tensor.sparkSession.range(draws).select(picks.alias("_p")).select(
-        *[F.get("_p", F.lit(n)).alias(m) for n, m in enumerate(modes)])
+        *[F.get("_p", F.lit(n)).alias(m) for n, m in enumerate(modes)]).distinct()
+    for a, b in zip(modes, modes[1:]):
+        drawn = drawn.filter(F.col(a) < F.col(b))
     absent = drawn.join(counts.select(*modes), modes, "left_anti").withColumn("value", F.lit(0.0))
     return tensor.select(*modes, "value").unionByName(absent)
 

@@ -59,10 +59,10 @@ def random_projection(rows: DataFrame, k: int, doc_id: str = "doc_id", key: str
 
     Each term yields one array of k signed values; arrays are summed per document component by component.
     """
-    topics = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda t: F.when(F.xxhash64(F.col(key), t, F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0) * F.col(value))
-    parts = rows.select(doc_id, topics.alias("_v"))
+    digits = F.concat(*[F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"{b}|{seed}"))) for b in range(-(-k // 32))])
+    signed = rows.select(doc_id, value, digits.alias("_h"))  # one hexadecimal digit a topic: the upper half is minus
+    parts = signed.select(doc_id, F.array(*[
+        F.when(F.substring("_h", t + 1, 1) < "8", F.col(value)).otherwise(-F.col(value)) for t in range(k)]).alias("_v"))
     sums = parts.groupBy(doc_id).agg(*[F.sum(F.get("_v", F.lit(t))).alias(f"_t{t}") for t in range(k)])
     packed = F.array(*[F.col(f"_t{t}") / F.lit(float(k) ** 0.5) for t in range(k)])
     return (sums.select(doc_id, F.posexplode(packed).alias("topic", "weight"))

@@ -7,7 +7,7 @@ from vectorloom.operators import coherence as coh
 from vectorloom.operators import cooc as c
 from vectorloom.operators import phrases as ph
 from vectorloom.operators import vocab as v
-from vectorloom.plans.registry import OCC, documents, query, r6, table
+from vectorloom.plans.registry import draw_sql, OCC, documents, query, r6, table
 
 # ---------------------------------------------------------------- phrases
 PHRASES = (f"{OCC}, bg AS (SELECT x.doc_id, x.pos, x.token AS a, y.token AS b FROM occ x JOIN occ y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1), "
@@ -123,7 +123,10 @@ def _(spark, d):
                                       F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("skipgram_pairs")
+@query("skipgram_pairs",
+       f"WITH {IDS}, r AS (SELECT *, {WINDOW} - {draw_sql('doc_id', 'p', seed=1)} % {WINDOW} AS reach FROM seq) "
+       "SELECT t.term_id AS target, count(*) AS pairs, count(DISTINCT x.term_id) AS contexts FROM r t JOIN seq x ON x.doc_id = t.doc_id "
+       "AND x.p BETWEEN t.p - 5 AND t.p + 5 AND abs(x.p - t.p) BETWEEN 1 AND t.reach GROUP BY 1")
 def _(spark, d):
     return c.skipgram_pairs(id_docs(spark, d)[0], WINDOW).groupBy("target").agg(
         F.count("*").alias("pairs"), F.count_distinct("context").alias("contexts"))
@@ -182,7 +185,13 @@ def _(spark, d):
     return c.limit_large_vals(tensor(spark, d, 2)[0]).select("i", "j", r6(F.col("value"), "value"))
 
 
-@query("add_zero_samples")
+@query("add_zero_samples",
+       f"WITH {IDS}, {tensor_sql(2)}, {pmi_sql(2)}, v AS (SELECT i, j, round(value, 6) AS value FROM pmi WHERE value > 0), "
+       "n AS (SELECT CAST(floor(0.2::DOUBLE * (SELECT count(*) FROM v)) AS BIGINT) AS draws, (SELECT count(*) FROM vocab) AS size), "
+       f"d AS (SELECT {draw_sql('id', 0, seed=1)} % size AS a, {draw_sql('id', 1, seed=1)} % size AS b "
+       "FROM (SELECT unnest(range(0, draws)) AS id, size FROM n)), "
+       "z AS (SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM d WHERE a <> b) "
+       "SELECT * FROM v UNION ALL SELECT i, j, 0.0::DOUBLE FROM z ANTI JOIN (SELECT i, j FROM ng WHERE count > 1) USING (i, j)")
 def _(spark, d):
     values, counts, vocab, _ = tensor(spark, d, 2)
     return c.add_zero_samples(values, counts, vocab.count(), 0.2).select("i", "j", r6(F.col("value"), "value"))

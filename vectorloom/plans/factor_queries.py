@@ -7,7 +7,7 @@ from vectorloom.operators import factor as fa
 from vectorloom.operators import topics as tp
 from vectorloom.operators import vocab as v
 from vectorloom.plans.cooc_queries import IDS, PHRASES, id_docs, pmi_sql, tensor, tensor_sql
-from vectorloom.plans.registry import OCC, VOCAB, documents, query, r6, table, tok_sql
+from vectorloom.plans.registry import OCC, VOCAB, documents, hash01_sql, query, r6, table, tok_sql
 from vectorloom.plans.search_queries import EMB
 from vectorloom.functions.text import simple_preprocess
 from vectorloom.runtime import cut, scratch_dir
@@ -109,10 +109,13 @@ def _(spark, d):
     return fa.infer_vectors(ids, outputs, 8).select("doc_id", F.posexplode("vector").alias("dim", "value"))
 
 
-@query("random_embedding")
+@query("random_embedding",
+       f"WITH {OCC}, w AS (SELECT DISTINCT token AS word FROM occ), d AS (SELECT word, unnest(range(1, 5)) AS i FROM w), "
+       f"u AS (SELECT word, i, {hash01_sql('word', 'i', 0)} + pow(2.0, -53) AS a, {hash01_sql('word', 'i', 1)} + pow(2.0, -53) AS b FROM d) "
+       "SELECT word, CAST(i - 1 AS INTEGER) AS dim, round(sqrt(-2 * ln(a)) * cos(2 * pi() * b), 6) AS value FROM u")
 def _(spark, d):
     words = v.token_counts(documents(spark, d)).select(F.col("token").alias("word"))
-    return fa.random_embedding(words, 4).select("word", F.posexplode("vector").alias("dim", "value"))
+    return fa.random_embedding(words, 4).select("word", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 # part and supplier vectors: rows of the embeddings table by key

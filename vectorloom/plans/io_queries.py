@@ -37,7 +37,12 @@ def _(spark, d):
     return out.select("line", F.col("piece").cast("long").alias("piece"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("read_text8")
+@query("read_text8",
+       f"WITH {LINES}, w AS (SELECT line, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM ln_), "
+       "c AS (SELECT line, k, regexp_replace(lower(w), '&quot;|[}{\\]\\[,)(\\\\.'']', '', 'g') AS token FROM w WHERE NOT (" +
+       " OR ".join(f"contains(w, '{m}')" for m in rd.TEXT8_MARKUP) + ")), "
+       "n AS (SELECT token, row_number() OVER (ORDER BY line, k) - 1 AS p FROM c) "
+       "SELECT CAST(floor(p / 1000) AS BIGINT) AS sentence, string_agg(token, ' ' ORDER BY p) AS tokens FROM n GROUP BY 1")
 def _(spark, d):
     return rd.read_text8(spark, flat_lines(spark, d, "text8"), 1000).select("sentence", F.array_join("tokens", " ").alias("tokens"))
 
@@ -279,7 +284,9 @@ def _(spark, d):
     return spark.read.parquet(path).select("i", "j", "value")
 
 
-@query("save_run")
+@query("save_run",
+       "SELECT 'demo' AS method, CAST(0 AS BIGINT) AS num_docs, CAST(1 AS BIGINT) AS min_count, CAST(64 AS BIGINT) AS dim, count(*) AS vocab_size, "
+       "CAST(0 AS DOUBLE) AS elapsed FROM embeddings")
 def _(spark, d):
     run = wr.save_run(scratch_dir(spark, "run"), "demo", 0, 1, 64, embedding(spark, d))
     return spark.read.json(f"{run}/metadata")

@@ -52,6 +52,15 @@ def r6(c, name: str):
 
 
 # ---- shared DuckDB fragments
+def draw_sql(*keys, seed: int = 0) -> str:
+    """`runtime.draw48` in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(map(str, keys))}, '{seed}')), 1, 12) AS BIGINT)"
+
+
+def hash01_sql(*keys, seed: int = 0) -> str:
+    return f"({draw_sql(*keys, seed=seed)} / 281474976710656.0::DOUBLE)"
+
+
 def tok_sql(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     return (f"SELECT {key}, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{Nl}}\\p{{No}}_]+'), "
             f"lambda t: length(t) BETWEEN 2 AND 15 AND t[1] <> '_') AS tokens FROM {source}")

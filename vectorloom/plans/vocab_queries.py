@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.text import simple_preprocess
 from vectorloom.operators import vocab as v
-from vectorloom.plans.registry import BOW, OCC, TOK, VOCAB, documents, query, r6, table, tok_sql
+from vectorloom.plans.registry import BOW, OCC, TOK, VOCAB, documents, query, r6, table, tok_sql, hash01_sql
 
 COUNTS = f"{OCC}, cnt AS (SELECT token, count(*) AS count FROM occ GROUP BY token)"
 
@@ -163,7 +163,9 @@ def _(spark, d):
     return out.select("token", "count", r6(F.col("keep_prob"), "keep_prob"))
 
 
-@query("subsample_tokens")
+@query("subsample_tokens",
+       f"WITH {COUNTS}, t AS (SELECT 0.001::DOUBLE * sum(count)::DOUBLE AS t FROM cnt), p AS (SELECT token, {_p('CAST(count AS DOUBLE)', 't')} AS p FROM cnt, t) "
+       f"SELECT doc_id, count(*) AS kept FROM occ JOIN p USING (token) WHERE {hash01_sql('doc_id', 'pos', seed=1)} < p GROUP BY doc_id")
 def _(spark, d):
     docs = documents(spark, d)
     kept = v.subsample_tokens(docs, v.subsample_probability(v.word_counts(docs, 1)))

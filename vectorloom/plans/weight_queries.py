@@ -49,7 +49,10 @@ def _(spark, d):
     return w.normalize(rows).select("doc_id", "token", r6(F.col("weight"), "weight"))
 
 
-@query("random_projection")
+@query("random_projection",
+       f"WITH {TFIDF_SQL}, h AS (SELECT DISTINCT token, md5(token || '|0|0') AS h FROM tfidf), t AS (SELECT unnest(range(0, 32)) AS topic), "
+       "s AS (SELECT doc_id, topic, sum(CASE WHEN substr(h, topic + 1, 1) < '8' THEN w ELSE -w END) / sqrt(32.0) AS weight "
+       "FROM tfidf JOIN h USING (token), t GROUP BY ALL) SELECT doc_id, CAST(topic AS INTEGER) AS topic, round(weight, 6) AS weight FROM s WHERE abs(weight) > 1e-9")
 def _(spark, d):
     out = w.random_projection(corpus_tfidf(spark, d), 32, key="token")
     return out.select("doc_id", "topic", r6(F.col("weight"), "weight"))

@@ -116,9 +116,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def draw48(*cols, seed: int = 0):
+    """Deterministic whole number in [0, 2^48) of the given columns: the first digits of an MD5 sum, which any SQL engine can repeat."""
+    keys = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.lit(str(seed)))), 1, 12), 16, 10).cast("long")
+
+
 def hash01(*cols, seed: int = 0):
     """Deterministic uniform value in [0,1) from the given columns, stable under recomputation."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return draw48(*cols, seed=seed).cast("double") / float(1 << 48)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
