@@ -19,7 +19,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     out = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
