@@ -140,3 +140,58 @@ def test_hashed_split_is_stable(spark):
     a = {r["id"] for r in w.hashed_split(rows.repartition(3), ["id"], 0.85)[0].collect()}
     b = {r["id"] for r in w.hashed_split(rows.repartition(8), ["id"], 0.85)[0].collect()}
     assert a == b and 800 < len(a) < 900
+
+
+def test_inferred_vectors_ignore_unknown_words(spark):
+    outputs = spark.createDataFrame([(3, [1.0, 0.0], 10), (7, [0.0, 1.0], 10)], "idx long, vector array<double>, count long")
+    docs = spark.createDataFrame([(0, [5, 9]), (1, []), (2, [3, 3, 5]), (3, [3, 3])], "doc_id long, ids array<long>")
+    got = {r["doc_id"]: np.array(r["vector"]) for r in fa.infer_vectors(docs, outputs, 2, noise=64).collect()}
+    again = {r["doc_id"]: np.array(r["vector"]) for r in fa.infer_vectors(docs.repartition(3), outputs, 2, noise=64).collect()}
+    assert all((got[i] == again[i]).all() for i in range(4))
+    assert np.abs(got[0]).max() <= 0.25 and np.abs(got[1]).max() <= 0.25  # start vectors: nothing known to learn from
+    known = spark.createDataFrame([(2, [3, 3])], docs.schema)
+    assert (fa.infer_vectors(known, outputs, 2, noise=64).first()["vector"] == got[2]).all() and np.abs(got[2] - got[0]).max() > 0.01
+
+
+def test_log_probability_of_far_vectors_is_finite(spark):
+    pairs = spark.createDataFrame([(0, 0, 0), (1, 0, 1)], "doc_id int, target long, context long")
+    words = spark.createDataFrame([(0, [1000.0])], "idx long, vector array<double>")
+    contexts = spark.createDataFrame([(0, [-1.0]), (1, [1.0])], "idx long, vector array<double>")
+    got = {r["doc_id"]: r["log_prob"] for r in fa.sentence_log_prob(pairs, words, contexts).collect()}
+    assert got[0] == -1000.0 and got[1] == 0.0
+
+
+def test_phrases_need_an_accepted_place(spark):
+    from vectorloom.operators import phrases as ph
+
+    docs = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(20)] + [(100 + i, [f"x{i}"]) for i in range(400)], "doc_id int, tokens array<string>")
+    found = {(r["a"], r["b"]) for r in ph.phrase_scores(docs, ph.phrase_counts(docs), 1, 1.0).collect()}
+    assert found == {("a", "b")}  # "b c" always follows an accepted pair
+
+
+def test_document_batches_agree_with_single_documents():
+    rng = np.random.default_rng(4)
+    beta, alpha = rng.random((3, 20)), np.full(3, 0.3)
+    ids = [rng.choice(20, n, replace=False) for n in (3, 7, 1)]
+    counts = [rng.integers(1, 5, len(i)).astype(float) for i in ids]
+    together, _, expected = tp._fit_documents(ids, counts, beta, alpha, 200, 1e-12)
+    for at in range(3):
+        alone, _, _ = tp._fit_documents(ids[at:at + 1], counts[at:at + 1], beta, alpha, 200, 1e-12)
+        np.testing.assert_allclose(together[at], alone[0], rtol=1e-6)
+    np.testing.assert_allclose(expected.sum(), sum(c.sum() for c in counts))
+
+
+def test_lda_passes_visit_every_document_and_score_held_out_ones(spark):
+    docs = spark.createDataFrame([(i, ([0, 1, 2] if i % 2 else [3, 4, 5]), [5.0, 4.0, 3.0]) for i in range(60)],
+                                 "doc_id long, ids array<int>, counts array<double>")
+    model = tp.lda_fit(docs.filter("doc_id < 50"), 6, 2, passes=3, seed=3)
+    assert model.seen % 50 == 0
+    bound, perplexity = tp.lda_perplexity(model, docs.filter("doc_id >= 50"))
+    assert bound < 0 and 2 < perplexity < 6 and abs(perplexity - 2 ** -bound) < 1e-9
+
+
+def test_distributed_memory_vectors(spark, toy):
+    vocab = cooc.vocab_for(v.word_counts(toy, 1), 1)
+    state, losses = fa.doc_vectors_dm(cooc.context_windows(cooc.to_ids(toy, vocab), 2, fixed_size=False), vocab, 4, 3, negatives=2)
+    assert losses[-1] < losses[0]
+    assert {r["doc_id"] for r in fa.document_table(state).collect()} == set(range(9))

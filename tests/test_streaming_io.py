@@ -23,6 +23,21 @@ def test_stream_vocab_equals_batch_and_resumes(spark, toy, stream_dir):
     assert inc.read_vocab(spark, state).agg(F.sum("cf")).first()[0] == 2 * sum(t[2] for t in want)
 
 
+def test_merged_batches_count_once(spark, toy, tmp_path, monkeypatch):
+    """Five batches, merged after every second one, and a replay of a batch that is merged already."""
+    monkeypatch.setattr(inc, "MERGE_EVERY", 2)
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for _ in range(5):
+        toy.coalesce(1).write.mode("append").parquet(path)
+    inc.stream_phrases(inc.file_stream(spark, path), state)
+    assert spark.read.parquet(f"{state}/merged").select("upto").distinct().count() == 2
+    want = {r["key"]: 5 * r["count"] for r in inc.phrases.phrase_counts(toy).collect()}
+    assert {r["key"]: r["count"] for r in inc.read_phrases(spark, state).collect()} == want
+    inc.phrases.phrase_counts(toy).write.mode("overwrite").parquet(f"{state}/counts/batch=1")
+    inc._summed(spark, state, ["key"], ["count"], 1).write.mode("overwrite").parquet(f"{state}/merged/upto=1")
+    assert {r["key"]: r["count"] for r in inc.read_phrases(spark, state).collect()} == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     path, state = str(tmp_path / "in"), str(tmp_path / "state")
     times = [["2024-01-01 10:00:00", "2024-01-01 11:00:00"], ["2024-01-09 10:00:00"], ["2024-01-01 12:00:00", "2024-01-09 11:00:00"]]

@@ -160,9 +160,7 @@ def eval_wordrep(pairs: DataFrame, embedding: DataFrame, max_pairs: int = 1000,
     judged = cut(judge(q, predict_analogies(q, embedding)))
     out = _accuracy(judged, "category")
     if groups is not None:
-        out = out.unionByName(_accuracy(judged.drop("category").join(
-            q.select("query_id", "category"), "query_id").join(groups, "category"), "family").filter(
-            "family <> 'all'").withColumnRenamed("family", "category"))
+        out = out.unionByName(_accuracy(judged.join(groups, "category"), "family").filter("family <> 'all'").withColumnRenamed("family", "category"))
     return out
 
 

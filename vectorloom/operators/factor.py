@@ -29,7 +29,7 @@ from vectorloom.runtime import cut, fits, hash01
 # Optimiser settings.
 RATES = {"adam": 1e-3, "sgd": 1.0, "adagrad": 0.05}
 #: Training ends when a step lowers the loss by a smaller share than this.
-TOLERANCE = 1e-3
+TOLERANCE = 5e-3
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from vectorloom.runtime import cut, scratch_dir
 from vectorloom.streaming import incremental as inc
 
 #: Most steps of a training; it ends earlier when the loss settles (factor.TOLERANCE).
-STEPS = 30
+STEPS = 12
 
 
 def _vectors(state, losses, f="U"):

@@ -1,7 +1,9 @@
 """Structured Streaming twins of the counting and model-update operators.
 
-Counts: every micro-batch writes its own partial counts to `<state>/batch=<id>`, overwriting on replay, and the
-current value is the sum over batches, so a repeated batch changes nothing. Models: batch n reads the state
+Counts: every micro-batch writes its own partial counts to `<state>/counts/batch=<id>`, overwriting on replay, and the
+current value is the sum over batches, so a repeated batch changes nothing. Every MERGE_EVERY batches the sum so far is
+written to `<state>/merged/upto=<id>`; readers take the last of these and the batches after it, so reads do not grow
+with the age of a stream. Models: batch n reads the state
 written by batch n-1 and writes its own. Counts commute, so late data simply adds; only event-time slices use a
 watermark.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +24,10 @@ from vectorloom.operators.vocab import token_runs
 from vectorloom.runtime import cut
 
 
+#: Batches after which partial counts are summed up into one table.
+MERGE_EVERY = 16
+
+
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A folder of parquet files as a stream."""
     schema = spark.read.parquet(path).schema
@@ -34,22 +41,34 @@ def _run(stream: DataFrame, state: str, each: Callable[[DataFrame, int], None],
     return query
 
 
-def _partial_counts(stream: DataFrame, state: str, count: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+def _partial_counts(stream: DataFrame, state: str, count: Callable[[DataFrame], DataFrame], keys: list[str], values: list[str]) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
         count(batch).write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+        if batch_id % MERGE_EVERY == MERGE_EVERY - 1:
+            _summed(batch.sparkSession, state, keys, values, batch_id).write.mode("overwrite").parquet(f"{state}/merged/upto={batch_id}")
 
     return _run(stream, state, each)
 
 
-def _summed(spark: SparkSession, state: str, keys: list[str], values: list[str]) -> DataFrame:
+def _summed(spark: SparkSession, state: str, keys: list[str], values: list[str], upto: int | None = None) -> DataFrame:
+    """Sums over all batches (with `upto`: those up to that one, from what was merged before it)."""
     rows = spark.read.parquet(f"{state}/counts")
+    if upto is not None:
+        rows = rows.filter(F.col("batch") <= upto)
+    try:
+        merged = spark.read.parquet(f"{state}/merged")
+    except AnalysisException:  # nothing merged yet
+        merged = None
+    last = None if merged is None else merged.filter(F.col("upto") < (upto if upto is not None else 1 << 62)).agg(F.max("upto")).first()[0]
+    if last is not None:
+        rows = rows.filter(F.col("batch") > last).select(*keys, *values).unionByName(merged.filter(F.col("upto") == last).select(*keys, *values))
     return rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 # ---------------------------------------------------------------- counts
 def stream_vocab(stream: DataFrame, state: str) -> StreamingQuery:
     """df and cf per token of a stream of (doc_id, tokens)."""
-    return _partial_counts(stream, state, vocab.token_counts)
+    return _partial_counts(stream, state, vocab.token_counts, ["token"], ["df", "cf"])
 
 
 def read_vocab(spark: SparkSession, state: str) -> DataFrame:
@@ -57,7 +76,7 @@ def read_vocab(spark: SparkSession, state: str) -> DataFrame:
 
 
 def stream_phrases(stream: DataFrame, state: str) -> StreamingQuery:
-    return _partial_counts(stream, state, phrases.phrase_counts)
+    return _partial_counts(stream, state, phrases.phrase_counts, ["key"], ["count"])
 
 
 def read_phrases(spark: SparkSession, state: str) -> DataFrame:
@@ -74,7 +93,7 @@ def stream_cooccurrence(stream: DataFrame, state: str, words: DataFrame, n: int
             F.col("term_id").alias("i"), *[F.lit(-1).cast("long").alias(m) for m in modes[1:]], "count")
         return cooc.ngram_cooccurrence(chunks, n).unionByName(single)
 
-    return _partial_counts(stream, state, count)
+    return _partial_counts(stream, state, count, modes, ["count"])
 
 
 def read_ppmi(spark: SparkSession, state: str, n: int = 2, min_count: int = 1, **options) -> DataFrame:
