@@ -1,8 +1,8 @@
 """Language identification with hyperdimensional profiles.
 
 Every letter has a fixed random vector of +1 and -1. The vector of a letter trigram binds the permuted vectors of its letters,
-rotate(a, 2) * rotate(b, 1) * c; a text's vector bundles (adds) the vectors of all its trigrams, and a language's prototype bundles those
-of its training documents. A document gets the language whose prototype has the largest cosine with it; the cosine is its score.
+rotate(a, 2) * rotate(b, 1) * c; a text's vector bundles (adds) the vectors of all its trigrams, and a language's prototype bundles the
+vectors of its training documents, each of one length, so that no document outweighs the others. A document gets the language whose prototype has the largest cosine with it; the cosine is its score.
 
 Texts are lower-cased and every run of other characters than letters is one boundary. Trigrams are counted per text, so that bundling
 is one matrix product of counts and trigram vectors per block of texts. Prototypes are integer sums: tasks add up what they read, one
@@ -28,6 +28,8 @@ from vectorloom.llm.common import held_out, prepare, texts_in_blocks
 
 #: Dimensions of the vectors, and the most languages that a model may have (the prototypes are held by every task).
 DIMS, MAX_LANGUAGES = 1024, 2000
+#: Length of a training document's vector, in whole numbers so that sums do not depend on their order.
+ONE = 1 << 16
 UNKNOWN = "und"
 
 
@@ -110,8 +112,11 @@ def fit_languages(docs: DataFrame, dims: int = DIMS) -> LanguageModel:
         for batch in batches:
             names, codes = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             for first, texts in texts_in_blocks(batch.column("text")):
-                part = _bundles(texts, codes[first:first + len(texts)], len(names), dims)
-                for name, row in zip(names.tolist(), np.rint(part).astype(np.int64), strict=True):
+                vectors = _bundles(texts, np.arange(len(texts)), len(texts), dims)
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                whole, mine = np.rint(vectors / np.where(norms > 0, norms, 1) * ONE).astype(np.int64), codes[first:first + len(texts)]
+                for code in np.unique(mine):
+                    name, row = str(names[code]), whole[mine == code].sum(0)
                     sums[name] = sums[name] + row if name in sums else row
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))],

@@ -187,7 +187,8 @@ def label_model(votes: np.ndarray, hits: np.ndarray, fired: np.ndarray, n_units:
         correlation = np.clip((left.T @ left) / len(votes) / np.outer(scale, scale), 0, 1)
         np.fill_diagonal(correlation, 0)
         beside = votes @ np.where(correlation > 0.2, correlation, 0)
-        evidence = (votes * (logit(accuracy) - logit(base)) / (1 + beside)).sum(1)
+        prior = np.clip(posterior.mean(), base, 0.5)  # a voter no better than the prior says nothing
+        evidence = (votes * (logit(accuracy) - logit(prior)) / (1 + beside)).sum(1)
         updated = 1 / (1 + np.exp(-np.clip(logit(base) + evidence, -40, 40)))
         change, posterior = np.abs(updated - posterior).max(), updated
         if change < tolerance:
