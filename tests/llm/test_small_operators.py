@@ -216,3 +216,18 @@ def test_neighbours_edges(spark, monkeypatch):
     few = cross_polytope.nearest(spark.createDataFrame(good[:3], frame.schema), F.col("id") == 0).collect()
     assert len(few) <= 2
     assert cross_polytope.nearest(frame.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("norms", ["one outlier", "lognormal"])
+def test_neighbours_of_uneven_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.exp(rng.normal(size=3000) / 2)[:, None] if norms == "lognormal" else np.where(np.arange(3000) == 7, 100, 1)[:, None]
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": range(3000), "embedding": x.tolist()}))
+    got = {}
+    for r in cross_polytope.nearest(frame, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = near(x.tolist(), range(3000), 20)
+    assert set(got) == set(want) and all(len(i) == 20 for i in got.values())
+    assert np.mean([len({i for _, i in want[q]} & got[q]) / 20 for q in want]) > 0.9

@@ -2,8 +2,11 @@
 
 A pseudo-rotation is three rounds of random signs and a fast Hadamard transform; a unit vector hashes to the nearest signed axis of the
 rotated space. A table joins the hashes of two or more rotations, the last one over so many axes that buckets have a few rows. Queries probe the
-buckets whose axes are nearest in every table; what lies there is ranked by exact inner products in double precision. Vectors of
-different norms get one more coordinate that makes their norms equal, so that the largest inner product is the smallest angle.
+buckets whose axes are nearest in every table; what lies there is ranked by exact inner products in double precision.
+
+Vectors are dealt to bands of norms, BANDS to each halving of the largest one. Every band has buckets of its own and is probed by every
+query. Inside a band, vectors of different norms get one more coordinate that makes their norms equal, so that the largest inner product
+is the smallest angle; as the norms of a band differ little, the coordinate is small and does not gather the vectors in a few buckets.
 
 Work is laid out by (table, cell): a cell holds whole buckets of about CELL_BYTES of vectors, meets the queries that probe them, and
 answers each with its k best, so no pair is ever a row. A bucket larger than a cell is split by a hash of the vector and asked in all
@@ -31,6 +34,8 @@ from vectorloom.llm.common import cut, gather_ranges, prepare
 
 #: Tables, share of the buckets of a table that a query probes (times the square root of the number of vectors), entries of a bucket.
 TABLES, PROBE_RATE, BUCKET_ROWS = 24, 1.6, 3
+#: Bands of norms to each factor of two.
+BANDS = 4
 #: Bytes of vectors in a cell.
 CELL_BYTES = 32 << 20
 
@@ -46,48 +51,58 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def directed(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the base 2 logarithms of the norms (which may be beyond what a square holds)."""
+    largest = np.abs(vectors).max(1, keepdims=True)
+    scaled = vectors / largest
+    length = np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / length, (np.log2(largest) + np.log2(length))[:, 0]
+
+
 @dataclass(frozen=True)
 class CrossPolytope:
-    """The hash family for vectors of `dims` components; `top` is the largest norm, 0 if all norms are alike."""
+    """The hash family for a band of vectors of `dims` components; `top` is the logarithm of its largest norm, None if its norms are alike.
+
+    Families of one width turn points alike; `first` is the number of the band's first bucket.
+    """
 
     dims: int
-    top: float
+    width: int
+    top: float | None
     axes: tuple[int, ...]  # axes of each rotation of a table
     tables: int
     probes: int
+    first: int = 0
     seed: int = 7
 
-    @property
-    def width(self) -> int:
-        return 1 << max(0, (self.dims + (self.top > 0) - 1).bit_length())
-
     def placed(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         out = np.zeros((len(vectors), self.width))
-        norms = np.linalg.norm(vectors, axis=1)
-        out[:, :self.dims] = vectors / (norms[:, None] if query or not self.top else self.top)
-        if self.top and not query:
-            out[:, self.dims] = np.sqrt(np.clip(1 - (norms / self.top) ** 2, 0, 1))
+        out[:, :self.dims], norms = directed(vectors)
+        if self.top is not None and not query:
+            share = np.exp2(np.minimum(norms - self.top, 0))
+            out[:, :self.dims] *= share[:, None]
+            out[:, self.dims] = np.sqrt(1 - share ** 2)
         return out
 
     def rotated(self, points: np.ndarray, table: int, turn: int) -> np.ndarray:
         signs = np.random.default_rng([self.seed, table, turn]).integers(0, 2, (3, self.width)) * 2 - 1
         for row in signs:
             points = hadamard(points * row)
-        return points[:, :self.axes[turn]]
+        return points
 
     def buckets(self, points: np.ndarray, table: int) -> np.ndarray:
         code = np.zeros(len(points), np.int64)
         for turn, axes in enumerate(self.axes):
-            x = self.rotated(points, table, turn)
+            x = self.rotated(points, table, turn)[:, :axes]
             at = np.abs(x).argmax(1)
             code = code * (2 * axes) + 2 * at + (x[np.arange(len(x)), at] > 0)
-        return code
+        return code + self.first
 
-    def probed(self, points: np.ndarray, table: int) -> np.ndarray:
-        """The `probes` buckets of each point whose axes lie nearest, by the sum of squared shortfalls of the rotations."""
-        codes, loss = np.zeros((len(points), 1), np.int64), np.zeros((len(points), 1))
-        for turn, axes in enumerate(self.axes):
-            x = self.rotated(points, table, turn)
+    def probed(self, turned: list[np.ndarray]) -> np.ndarray:
+        """The `probes` buckets of each point whose axes lie nearest, by the sum of squared shortfalls; turned: the points in each rotation of a table."""
+        codes, loss = np.zeros((len(turned[0]), 1), np.int64), np.zeros((len(turned[0]), 1))
+        for axes, x in zip(self.axes, turned, strict=False):
+            x = x[:, :axes]
             signed = np.concatenate([-x, x], 1)  # column j: -axis j, column axes + j: +axis j
             order = np.argsort(-signed, 1)[:, :self.probes]
             short = (np.take_along_axis(signed, order[:, :1], 1) - np.take_along_axis(signed, order, 1)) ** 2
@@ -96,19 +111,49 @@ class CrossPolytope:
             codes = (codes[:, :, None] * (2 * axes) + code[:, None, :]).reshape(len(x), -1)
             best = np.argsort(loss, 1, kind="stable")[:, :self.probes]
             loss, codes = np.take_along_axis(loss, best, 1), np.take_along_axis(codes, best, 1)
-        return codes
+        return codes + self.first
+
+
+def families(bands: list[tuple[int, int, float, float]], dims: int, tables: int = TABLES, probe_rate: float = PROBE_RATE) -> dict[int, CrossPolytope]:
+    """The family of each band, from (band, vectors, lowest and highest logarithm of a norm).
+
+    A band has buckets in proportion to the number of its vectors, probes to its square root.
+    """
+    uneven = [high - low > 1.5e-6 for _, _, low, high in bands]
+    width, out, first = 1 << max(0, (dims + any(uneven) - 1).bit_length()), {}, 0
+    for (band, n, _, high), mixed in zip(bands, uneven, strict=True):
+        wanted, axes = max(2, n // BUCKET_ROWS), []
+        while wanted >= 2 and len(axes) < 8:
+            axes.append(min(width, 1 << max(0, (wanted // 2).bit_length() - 1)))
+            wanted //= 2 * axes[-1]
+        total = math.prod(2 * a for a in axes)
+        probes = max(1, min(total, math.ceil(probe_rate * total / math.sqrt(n))))
+        out[band] = CrossPolytope(dims, width, high if mixed else None, tuple(axes), tables, probes, first)
+        first += total
+    return out
+
+
+def all_buckets(hashing: dict[int, CrossPolytope], vectors: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The bucket of each vector in every table."""
+    tables = next(iter(hashing.values())).tables
+    codes = np.zeros((len(vectors), tables), np.int64)
+    for band in np.unique(bands):
+        mine, family = bands == band, hashing[int(band)]
+        at = family.placed(vectors[mine], query=False)
+        codes[mine] = np.stack([family.buckets(at, t) for t in range(tables)], 1)
+    return codes
 
 
-def family(n: int, dims: int, low: float, top: float, tables: int = TABLES, probe_rate: float = PROBE_RATE) -> CrossPolytope:
-    """Buckets in proportion to the number of vectors, probes to its square root."""
-    top = top if low < top * (1 - 1e-6) else 0.0
-    width = 1 << max(0, (dims + (top > 0) - 1).bit_length())
-    wanted, axes = max(2, n // BUCKET_ROWS), []
-    while wanted >= 2 and len(axes) < 8:
-        axes.append(min(width, 1 << max(0, (wanted // 2).bit_length() - 1)))
-        wanted //= 2 * axes[-1]
-    total = math.prod(2 * a for a in axes)
-    return CrossPolytope(dims, top, tuple(axes), tables, max(1, min(total, math.ceil(probe_rate * total / math.sqrt(max(1, n))))))
+def all_probes(hashing: dict[int, CrossPolytope], points: np.ndarray, table: int) -> np.ndarray:
+    """The buckets of every band that each placed query probes in a table, sorted."""
+    some, codes, known = next(iter(hashing.values())), [], {}
+    turned = [some.rotated(points, table, turn) for turn in range(max(len(f.axes) for f in hashing.values()))]
+    for family in hashing.values():
+        kind = (family.axes, family.probes)
+        if kind not in known:
+            known[kind] = family.probed(turned) - family.first
+        codes.append(known[kind] + family.first)
+    return np.sort(np.concatenate(codes, 1), 1)
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -134,10 +179,14 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     ids = small(small(salted.select("raw", "salt", "id"), ["raw", "salt"]), ["raw"])
     members = cut(ids.groupBy("raw").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
     asking = points.filter("asks").join(members.select("raw", "rep"), "raw").select(F.col("id").alias("query_id"), "rep")
-    entries = cut(points.join(members.select("raw", F.col("rep").alias("id")), ["raw", "id"]).dropDuplicates(["raw"]).select(F.col("id").alias("rep"), "v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    n, dims, low, top = entries.agg(F.count("*"), F.max(F.size("v")), F.min(norm), F.max(norm)).first()
-    hashing = family(n, dims or 1, low or 1.0, top or 1.0, tables, probe_rate)
+    entries = points.join(members.select("raw", F.col("rep").alias("id")), ["raw", "id"]).dropDuplicates(["raw"]).select(F.col("id").alias("rep"), "v")
+    largest = F.array_max(F.transform("v", F.abs))
+    norm = F.log2(largest) + F.log2(F.aggregate(F.transform("v", lambda c: c / largest), F.lit(0.0), lambda a, c: a + c * c)) / 2
+    entries = cut(entries.withColumn("norm", norm))
+    n, dims, top = entries.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
+    entries = entries.withColumn("band", F.floor((F.lit(top) - F.col("norm")) * BANDS).cast("int"))
+    bands = entries.groupBy("band").agg(F.count("*"), F.min("norm"), F.max("norm"))  # a few thousand at most, as exponents are bounded
+    hashing = families(sorted(map(tuple, bands.collect())), dims or 1, tables, probe_rate)
     cells = max(1, math.ceil(n * (dims or 1) * 8 / CELL_BYTES))
     cell_rows = CELL_BYTES // (8 * (dims or 1))
 
@@ -147,8 +196,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     def hashed(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at = hashing.placed(stack(batch["v"]), query=False)
-                codes = np.stack([hashing.buckets(at, t) for t in range(hashing.tables)], 1)
+                codes = all_buckets(hashing, stack(batch["v"]), batch["band"].to_numpy())
                 yield pd.DataFrame({"rep": batch["rep"], "v": batch["v"], "codes": list(codes)})
 
     coded = cut(entries.mapInPandas(hashed, "rep long, v array<double>, codes array<long>"))
@@ -163,9 +211,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
         for batch in batches:
             if not len(batch):
                 continue
-            at = hashing.placed(stack(batch["v"]), query=True)
-            for t in range(hashing.tables):
-                codes = np.sort(hashing.probed(at, t), 1)
+            at = next(iter(hashing.values())).placed(stack(batch["v"]), query=True)
+            for t in range(tables):
+                codes = all_probes(hashing, at, t)
                 places, rows, found = (codes + 7919 * t) % cells, [], []
                 for row in range(len(batch)):
                     for c in np.unique(places[row]):
