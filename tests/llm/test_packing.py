@@ -72,3 +72,20 @@ def test_sequences(edges, monkeypatch):
 
 def test_no_rows(nothing):
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_added_tokens_keep_their_ids(written):
+    """The ids of the queries equal those of the file's tokenizer as it is loaded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b\n\n<|startoftext|>Don't", "<|endoftext|><|endoftext|>", "<|EndOfText|> <|endoftext |>", "",
+             "日本語<|startoftext|> é x"] + [r[1] or "" for r in edge_rows()]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.tokenizer().encode(texts)] == want and 49407 in want[0]
+    rows = packing.pack_documents(written(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {i: [*ids, packing.END_ID] for i, ids in enumerate(want)}

@@ -4,6 +4,9 @@ The file (its name is a parameter; nothing is copied or trained) drops white spa
 ids of a text are the ids of its pieces, one after the other. Pieces repeat: each Python worker keeps the ids of the pieces that it
 has met in a bounded table and asks the tokenizer for new ones only, many at a time. Texts with characters outside the plain Latin
 ranges, whose normal form and lower case could depend on their neighbours, go to the tokenizer unsplit.
+
+The file's added tokens (<|startoftext|>, <|endoftext|>) are matched on the raw text and may touch other words: texts that hold one go
+to the tokenizer as a whole, which gives it its own id. With `plain_text` they are text like any other.
 """
 
 from __future__ import annotations
@@ -24,15 +27,19 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 
 
 class WordTokenizer:
-    """ids(text) as unsigned 32-bit little-endian bytes, equal to the file's own encoding without special tokens."""
+    """ids(text) as unsigned 32-bit little-endian bytes, equal to the file's own encoding without special tokens around it."""
 
-    def __init__(self, name: str = VOCABULARY):
+    def __init__(self, name: str = VOCABULARY, plain_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        if plain_text:
+            self.tokenizer.encode_special_tokens = True
+        added = [] if plain_text else list(self.tokenizer.get_added_tokens_decoder().values())
+        # as the file has them, added tokens are looked for in the raw text; the empty string is in every text
+        self.added = ["" if token.normalized else token.content for token in added]
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
@@ -63,16 +70,17 @@ class WordTokenizer:
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         known = self.chunks
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        whole = {i: self._whole(text) for i, text in enumerate(texts) if any(token in text for token in self.added)}
+        split = [[] if i in whole else text.replace("\n", " ").split(" ") for i, text in enumerate(texts)]
         new = {c for chunks in split for c in chunks if c not in known}
         plain = {c: _PIECE.findall(c.lower()) for c in new if _PLAIN.match(c)}
         self._learn_pieces([p for p in {p for parts in plain.values() for p in parts} if p not in self.pieces])
         for chunk in new:
             known[chunk] = b"".join([self.pieces[p] for p in plain[chunk]]) if chunk in plain else self._whole(chunk)
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        return [whole[i] if i in whole else b"".join([known[c] for c in chunks]) for i, chunks in enumerate(split)]
 
 
 @lru_cache(maxsize=2)
 def tokenizer(name: str = VOCABULARY) -> WordTokenizer:
     """The worker's tokenizer; it lives as long as the Python worker."""
-    return WordTokenizer(name)
+    return WordTokenizer(name, plain_text=False)
