@@ -160,6 +160,35 @@ def test_token_counts_round_trip(spark, edges, block):
     assert all(r.ended for r in rows)
 
 
+def test_a_file_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    """A file over the bytes that Spark reads as one value; its blocks are rows of several tasks."""
+    ids = np.random.default_rng(6).choice([0, 1, 2, 300], 5000, p=[0.01, 0.33, 0.33, 0.33]).astype("<u2")
+    (tmp_path / "a token file.bin").write_bytes(ids.tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    ends = np.flatnonzero(ids == 0)
+    want = [*np.diff(np.concatenate(([-1], ends))) - 1, len(ids) - ends[-1] - 1]
+    monkeypatch.setattr(separator_scan, "TASK_BYTES", 1000, raising=False)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 4000)
+    try:
+        rows = separator_scan.token_counts(spark, str(tmp_path), block_tokens=100).orderBy("doc").collect()
+        blocks = separator_scan.scan_blocks(spark, str(tmp_path), block_tokens=100).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [r.n_tokens for r in rows if r.n_tokens or r.ended] == [n for n in want[:-1]] + [n for n in want[-1:] if n]
+    assert [r.ended for r in rows][:len(ends)] == [True] * len(ends) and sorted(b.block for b in blocks) == list(range(50))
+    assert len({b.task for b in blocks}) > 3
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="not a whole number of tokens"):
+        separator_scan.token_counts(spark, str(tmp_path)).collect()
+
+
+def test_files_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(np.array([5, 0, 0, 6, 7, 0, 8], "<u2").tobytes())
+    monkeypatch.setattr(separator_scan, "_seekable", lambda path: False, raising=False)
+    rows = separator_scan.token_counts(spark, str(tmp_path), block_tokens=2).orderBy("doc").collect()
+    assert [(r.n_tokens, r.ended) for r in rows] == [(1, True), (0, True), (2, True), (1, False)]
+
+
 def test_stitching(spark):
     rng = random.Random(4)
     blocks, want = [], {}
