@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, suffix_dedup, toxicity, url_filter
+from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, suffix_dedup, toxicity, url_filter, vp_clustering
 from vectorloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,27 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 @query("op10_url_cascade", URL_SQL)
 def _(spark, d):
     return url_filter.judge_urls(table(spark, d, "pages"), URL_RULES)
+
+
+def _cluster_sql() -> str:
+    """Lloyd rounds as one statement: (vector, component) rows, exact whole numbers, ties to the smaller number."""
+    k, dims = vp_clustering.CENTROIDS, vp_clustering.DIMS
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({vp_clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+ FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{vp_clustering.SEED}' || vec_id)) - 1 AS c, w AS m FROM v
+ QUALIFY row_number() OVER (ORDER BY sha256('{vp_clustering.SEED}' || vec_id)) <= {k})"""]
+    for r in range(vp_clustering.ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(w) AS w, min(struct_pack(d := d, c := c)) AS b FROM
+ (SELECT vec_id, w, c, list_sum(list_transform(list_zip(w, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{r}) GROUP BY vec_id)""")
+        if r < vp_clustering.ROUNDS:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, o.m) AS m FROM c{r} AS o LEFT JOIN (SELECT c, list(q ORDER BY i) AS m FROM
+ (SELECT b.c AS c, i, CAST(floor(sum(w[i]) / count(*)) AS BIGINT) AS q FROM a{r}, range(1, {dims + 1}) AS t(i) GROUP BY ALL) GROUP BY c) AS n USING (c))""")
+    last = vp_clustering.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+ CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON b.c = c"""
+
+
+@query("op13_vp_clustering", _cluster_sql())
+def _(spark, d):
+    return vp_clustering.cluster_report(table(spark, d, "embeddings"))
