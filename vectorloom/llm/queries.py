@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import cross_polytope, language_id, mixing, ngram_join, packing, quality, separator_scan, suffix_dedup, toxicity, url_filter, vp_clustering
+from vectorloom.llm import (
+    cross_polytope,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    separator_scan,
+    suffix_dedup,
+    token_alignment,
+    toxicity,
+    url_filter,
+    vp_clustering,
+)
 from vectorloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +158,11 @@ def _(spark, d):
     return url_filter.judge_urls(table(spark, d, "pages"), URL_RULES)
 
 
+@query("op11_token_alignment")
+def _(spark, d):
+    return token_alignment.align_documents(table(spark, d, "documents"))
+
+
 def _cluster_sql() -> str:
     """Lloyd rounds as one statement: (vector, component) rows, exact whole numbers, ties to the smaller number."""
     k, dims = vp_clustering.CENTROIDS, vp_clustering.DIMS
