@@ -92,7 +92,8 @@ def test_keys_without_a_level_are_listed(monkeypatch):
 
 def test_groups_with_many_links(monkeypatch):
     texts = [t.encode() for t in odd_texts() + [prose(random.Random(1), 300)]]
-    block = ta.align(texts, ta.aligner())
+    pairs = list(ta.aligner().ids(texts))
+    block = ta.align(pairs, ta.aligner())
     plain = Counter()
     for doc, key, often in block.links():
         for d, k, m in zip(doc.tolist(), key.tolist(), often.tolist()):
@@ -100,7 +101,7 @@ def test_groups_with_many_links(monkeypatch):
     monkeypatch.setattr(ta, "GROUP_LINKS", 3)
     monkeypatch.setattr(ta, "STEP_LINKS", 5)
     counted = Counter()
-    for doc, key, often in ta.align(texts, ta.aligner()).links():
+    for doc, key, often in ta.align(pairs, ta.aligner()).links():
         for d, k, m in zip(doc.tolist(), key.tolist(), often.tolist()):
             counted[d, k] += m
     assert plain == counted and sum(plain.values()) > 1000

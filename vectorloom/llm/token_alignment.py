@@ -1,8 +1,8 @@
 """Alignment of two public tokenizers: which ids stand for the same bytes, and in how many documents.
 
-Byte offsets where tokens of both tokenizers end cut a document's tokens into groups; all pairs of a group are linked. A first pass
-over the documents gives each task's distinct id pairs with their numbers of documents. The pairs are dealt to SHARDS shards by a
-hash of their A id, and per shard
+Byte offsets where tokens of both tokenizers end cut a document's tokens into groups; all pairs of a group are linked. Texts are encoded
+once; their ids, two bytes each, are written beside the checkpoints and aligned in each of two passes. The first one gives each task's
+distinct id pairs with their numbers of documents. The pairs are dealt to SHARDS shards by a hash of their A id, and per shard
 
 1. trees of FAN rows unite the tasks' keys to the distinct ones, over which a minimal perfect hash is built (`PerfectHash`);
 2. the tasks' counts become dense vectors indexed by that hash, which trees of FAN rows add up;
@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,14 +83,16 @@ class Aligner:
         self.text_a = [written(len(self.bytes_a), mark) for mark in ",|"]
         self.text_b = [written(len(self.bytes_b), mark) for mark in ",;"]
 
-    def ids(self, text: bytes) -> tuple[list[int], list[int]]:
-        """Ids of both, or none if the joined bytes of either are not a space and the text."""
-        if not text:
-            return [], []
-        whole, string = b" " + text, text.decode()
-        a, b = self.a.encode_ordinary(f" {string}"), self.b.encode(string)
-        same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-        return (a, b) if same else ([], [])
+        # ids are kept in two bytes where they fit
+        self.kinds = ["<u2" if len(table) <= 1 << 16 else "<u4" for table in (self.bytes_a, self.bytes_b)]
+
+    def ids(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of both for each text, or none if the joined bytes of either are not a space and the text."""
+        strings = [t.decode() for t in texts]
+        for text, string, b in zip(texts, strings, self.b.encode(strings, num_threads=1), strict=True):
+            whole, a = b" " + text, self.a.encode_to_numpy(f" {string}", disallowed_special=())
+            same = text and b"".join([self.bytes_b[i] for i in b]) == whole and b"".join([self.bytes_a[i] for i in a.tolist()]) == whole
+            yield (a.astype(self.kinds[0]).tobytes(), np.array(b, self.kinds[1]).tobytes()) if same else (b"", b"")
 
 
 @lru_cache(maxsize=1)
@@ -150,10 +153,11 @@ class Block:
         return [hashlib.sha256(b"".join(parts[s:e].tolist())[:-1]).hexdigest() if e > s else "" for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def align(texts: list[bytes], tools: Aligner) -> Block:
-    pairs = [tools.ids(t) for t in texts]
-    n_a, n_b = (np.array([len(p[side]) for p in pairs], np.int64) for side in (0, 1))
-    a, b = (np.fromiter((i for p in pairs for i in p[side]), np.int64, int(n.sum())) for side, n in ((0, n_a), (1, n_b)))
+def align(pairs: list[tuple[bytes, bytes]], tools: Aligner) -> Block:
+    """A block of the texts whose ids are given."""
+    found = [[np.frombuffer(p[side], tools.kinds[side]) for p in pairs] for side in (0, 1)]
+    n_a, n_b = (np.array([len(ids) for ids in side], np.int64) for side in found)
+    a, b = (np.concatenate(side).astype(np.int64) if side else np.zeros(0, np.int64) for side in found)
     ends_a, ends_b = np.cumsum(tools.size_a[a]), np.cumsum(tools.size_b[b])
     mark = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool)
     mark[ends_a] = True
@@ -161,8 +165,8 @@ def align(texts: list[bytes], tools: Aligner) -> Block:
     starts_a, starts_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
     group_b = np.searchsorted(common, ends_b)
     group_doc = np.zeros(len(common), np.int64)
-    group_doc[group_b] = np.repeat(np.arange(len(texts)), n_b)
-    return Block(a, b, np.searchsorted(common, ends_a), group_b, group_doc, len(texts), starts_a, starts_b, len(tools.bytes_b))
+    group_doc[group_b] = np.repeat(np.arange(len(pairs)), n_b)
+    return Block(a, b, np.searchsorted(common, ends_a), group_b, group_doc, len(pairs), starts_a, starts_b, len(tools.bytes_b))
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -265,7 +269,29 @@ def distinct_pairs(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- passes over the documents
-def task_counts(docs: DataFrame, text: str, shards: int, files: tuple[str, str]) -> DataFrame:
+def encoded(docs: DataFrame, doc_id: str, text: str, files: tuple[str, str]) -> DataFrame:
+    """(doc_id, a, b): the ids of each text as bytes."""
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("_a", T.BinaryType()), T.StructField("_b", T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = aligner(*files)
+        for batch in batches:
+            for at, texts in texts_in_blocks(batch.column(1)):
+                a, b = zip(*tools.ids(texts), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema.names)
+
+    return cut(docs.select(doc_id, text).mapInArrow(run, schema))
+
+
+def _pairs_in_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[bytes, bytes]]]]:
+    """(first row, ids of both) of runs of rows with about a megabyte of ids; the last two columns hold them."""
+    a, b = (batch.column(batch.num_columns - side) for side in (2, 1))
+    size = np.cumsum(pc.binary_length(a).to_numpy() + pc.binary_length(b).to_numpy()) // (1 << 20)
+    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size)) + 1) if batch.num_rows else ():
+        yield int(rows[0]), [(a[i].as_py(), b[i].as_py()) for i in rows.tolist()]
+
+
+def task_counts(tokens: DataFrame, shards: int, files: tuple[str, str]) -> DataFrame:
     """(part, shard, keys, counts): every task's distinct pairs and in how many of its documents they are."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +307,8 @@ def task_counts(docs: DataFrame, text: str, shards: int, files: tuple[str, str])
                 ["part", "shard", "keys", "counts"])
 
         for batch in batches:
-            for _, texts in texts_in_blocks(batch.column(0)):
-                _, found = distinct_pairs(align(texts, tools))
+            for _, pairs in _pairs_in_blocks(batch):
+                _, found = distinct_pairs(align(pairs, tools))
                 found, n = np.unique(found, return_counts=True)
                 keys.append(found)
                 counts.append(n.astype(np.int64))
@@ -296,7 +322,7 @@ def task_counts(docs: DataFrame, text: str, shards: int, files: tuple[str, str])
         if held:
             yield rows(*summed(np.concatenate(keys), np.concatenate(counts)))
 
-    return docs.select(text).mapInArrow(run, "part long, shard int, keys binary, counts binary")
+    return tokens.select("_a", "_b").mapInArrow(run, "part long, shard int, keys binary, counts binary")
 
 
 def _most(rows: DataFrame) -> int:
@@ -375,12 +401,12 @@ def pair_tables(parts: DataFrame, width: int) -> DataFrame:
     return cut(hashes.join(totals.select("shard", "counts"), "shard").mapInPandas(finish, "shard int, table binary"))
 
 
-def _aligned(batch: pa.RecordBatch, at: int, texts: list[bytes], tools: Aligner) -> tuple[Block, dict[str, pa.Array]]:
-    """A block and its columns but for the looked-up ones; the document's own columns come first in `batch`, the text last."""
-    block = align(texts, tools)
+def _aligned(batch: pa.RecordBatch, at: int, pairs: list[tuple[bytes, bytes]], tools: Aligner) -> tuple[Block, dict[str, pa.Array]]:
+    """A block and its columns but for the looked-up ones; the document's own columns come first in `batch`, its ids last."""
+    block = align(pairs, tools)
     in_a, in_b = block.sizes()
     own = lambda values: pa.array(np.bincount(block.group_doc, weights=values, minlength=block.docs).astype(np.int64))
-    columns = {batch.schema.names[i]: batch.column(i).slice(at, len(texts)) for i in range(batch.num_columns - 1)}
+    columns = {batch.schema.names[i]: batch.column(i).slice(at, len(pairs)) for i in range(batch.num_columns - 2)}
     columns |= {"n_a": pa.array(np.diff(block.starts_a)), "n_b": pa.array(np.diff(block.starts_b)), "n_groups": own(np.ones(len(in_a))),
                 "n_links": own((in_a * in_b).astype(float)), "groups_sha256": pa.array(block.digests(tools), pa.string())}
     return block, columns
@@ -398,8 +424,8 @@ def align_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     width = len(aligner(*files).bytes_b)
-    tables = pair_tables(cut(task_counts(docs, text, shards, files)), width)
-    source = docs.select(F.col(doc_id), F.col(text))
+    source = encoded(docs, doc_id, text, files)
+    tables = pair_tables(cut(task_counts(source, shards, files)), width)
     head = [T.StructField(doc_id, docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in COUNTS],
             T.StructField("groups_sha256", T.StringType())]
     size = tables.agg(F.sum(F.length("table").cast("long"))).first()[0] or 0
@@ -417,9 +443,9 @@ def _broadcast_lookup(source: DataFrame, held, head: list, width: int, shards: i
     def run(batches):
         tools, opened = aligner(*files), {}
         for batch in batches:
-            for at, texts in texts_in_blocks(batch.column(batch.num_columns - 1)):
-                block, columns = _aligned(batch, at, texts, tools)
-                best, total = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for at, pairs in _pairs_in_blocks(batch):
+                block, columns = _aligned(batch, at, pairs, tools)
+                best, total = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
                 for doc, key, often in block.links():
                     found, back = np.unique(key, return_inverse=True)
                     counts, top = np.zeros(len(found), np.int64), np.zeros(len(found), bool)
@@ -427,8 +453,8 @@ def _broadcast_lookup(source: DataFrame, held, head: list, width: int, shards: i
                         if shard not in opened:
                             opened[shard] = pickle.loads(held.value[shard])
                         counts[places], top[places] = opened[shard](found[places])
-                    total += _summed_by_doc(doc, often * counts[back], len(texts))
-                    best += _summed_by_doc(doc, often * top[back], len(texts))
+                    total += _summed_by_doc(doc, often * counts[back], len(pairs))
+                    best += _summed_by_doc(doc, often * top[back], len(pairs))
                 columns |= {"n_best": pa.array(best), "count_sum": pa.array(total)}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
@@ -445,10 +471,10 @@ def _shard_lookup(source: DataFrame, tables: DataFrame, head: list, width: int,
     def run(batches):
         tools, number = aligner(*files), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at, texts in texts_in_blocks(batch.column(batch.num_columns - 1)):
-                block, columns = _aligned(batch, at, texts, tools)
-                rows = number + np.arange(len(texts))
-                number += len(texts)
+            for at, pairs in _pairs_in_blocks(batch):
+                block, columns = _aligned(batch, at, pairs, tools)
+                rows = number + np.arange(len(pairs))
+                number += len(pairs)
                 whole = {"part": pa.array(rows)} | columns
                 yield _filled(whole, schema)
                 for doc, key, often in block.links():
