@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm import (
     cross_polytope,
     language_id,
+    lattice_dedup,
     mixing,
     ngram_join,
     packing,
@@ -163,6 +164,11 @@ def _(spark, d):
     return token_alignment.align_documents(table(spark, d, "documents"))
 
 
+@query("op12_lattice_dedup")
+def _(spark, d):
+    return lattice_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 def _cluster_sql() -> str:
     """Lloyd rounds as one statement: (vector, component) rows, exact whole numbers, ties to the smaller number."""
     k, dims = vp_clustering.CENTROIDS, vp_clustering.DIMS
