@@ -22,10 +22,9 @@ null; repeated ids are rows like any other; an empty table gives an empty result
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,24 +50,21 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(F.forall(vector, fine) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors of rows of one length; scaled by the largest component first, so that no square overflows or vanishes."""
-    if isinstance(column, pa.Array):
-        found = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    else:
-        found = np.stack(column.to_numpy()).astype(np.float64)
+    found = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     found = found / np.abs(found).max(1, keepdims=True)
     return found / np.sqrt(np.einsum("ij,ij->i", found, found))[:, None]
 
 
-def _by_length(batch: pa.RecordBatch, vectors: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors) for each length in the batch, a few thousand at a time."""
+def _by_length(batch: pa.RecordBatch, vectors: str, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) for each length in the batch, at most so many at a time."""
     column = batch.column(vectors)
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        for at in range(0, len(rows), 4096):
-            part = rows[at:at + 4096]
+        for at in range(0, len(rows), most):
+            part = rows[at:at + most]
             yield part, _matrix(column.take(pa.array(part)))
 
 
@@ -193,39 +189,89 @@ def _units(rows: DataFrame, key: str) -> DataFrame:
     return own.select(*[c for c in rows.columns if c != "n"], "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, first row of each group) from batches that are sorted by `keys`, cut anew so that no group is split."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        names = np.stack([np.asarray(batch.column(k)) for k in keys])
+        starts = np.concatenate([[0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1])
+        held = batch.slice(starts[-1])
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts[:-1]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
+def _sorted_units(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of a bounded number of rows, many to a task: most have two or three, too few for a call each."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _row_cosines(left: np.ndarray, right: np.ndarray, limit: float) -> np.ndarray:
+    found = np.einsum("ij,ij->i", left, right)
+    for i in np.flatnonzero(np.abs(found - limit) < 1e-12):
+        found[i] = math.fsum(left[i] * right[i])
+    return found
+
+
 def _entry_links(limit: float):
+    """Links (a, b, whole) of the units (cell, i, j): in small ones all pairs of all units at once, in large ones block by block."""
     widest = math.acos(limit)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        for _, part in frame.groupby(frame["vector"].map(len)):
-            left, right = part[part["own"] == i], part[part["own"] == j]
-            if not len(left) or not len(right):
-                continue
-            found = cosines(_matrix(left["vector"]), _matrix(right["vector"]), limit)
-            reach = left["radius"].to_numpy()[:, None] + right["radius"].to_numpy()[None]
-            gap = np.arccos(np.clip(found, -1, 1))
-            whole = np.where(reach > 0, gap + reach <= widest - CLEAR, found >= limit)
-            some = ~whole & (reach > 0) & (gap - reach <= widest + CLEAR)
-            a, b = left["entry"].to_numpy(), right["entry"].to_numpy()
-            order = a[:, None] < b[None] if i == j else a[:, None] != b[None]
-            for kind, mask in ((True, whole), (False, some)):
-                x, y = np.nonzero(mask & order)
-                out.append(pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "whole": kind}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "whole": []})
+    def judged(found: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap = np.arccos(np.clip(found, -1, 1))
+        whole = np.where(reach > 0, gap + reach <= widest - CLEAR, found >= limit)
+        return whole, ~whole & (reach > 0) & (gap - reach <= widest + CLEAR)
+
+    def rows(a: np.ndarray, b: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(whole)], ["a", "b", "whole"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, ["cell", "i", "j"]):
+            entry, radius, own, i, j = (np.asarray(batch.column(c)) for c in ("entry", "radius", "own", "i", "j"))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+            for at, units in _by_length(batch, "vector", batch.num_rows):
+                first = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
+                size = np.diff(np.append(first, len(at)))
+                one_block = i[at[first]] == j[at[first]]
+                small = (size <= 32) & one_block
+                for n in np.unique(size[small]):
+                    p, q = np.triu_indices(n, 1)
+                    base = first[small & (size == n)]
+                    left, right = ((base[:, None] + side[None]).ravel() for side in (p, q))
+                    for cut_at in range(0, len(left), 1 << 15):
+                        x, y = left[cut_at:cut_at + (1 << 15)], right[cut_at:cut_at + (1 << 15)]
+                        whole, some = judged(_row_cosines(units[x], units[y], limit), radius[at[x]] + radius[at[y]])
+                        keep = whole | some
+                        yield rows(entry[at[x[keep]]], entry[at[y[keep]]], whole[keep])
+                for start, n, same in zip(first[~small], size[~small], one_block[~small]):
+                    mine = np.arange(start, start + n)
+                    x, y = mine[own[at[mine]] == i[at[start]]], mine[own[at[mine]] == j[at[start]]]
+                    whole, some = judged(cosines(units[x], units[y], limit), radius[at[x]][:, None] + radius[at[y]][None])
+                    keep = (whole | some) & (np.tri(len(x), dtype=bool).T & ~np.eye(len(x), dtype=bool) if same else True)
+                    p, q = np.nonzero(keep)
+                    yield rows(entry[at[x[p]]], entry[at[y[q]]], whole[p, q])
     return run
 
 
 def _member_links(limit: float):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "eid": [], "links": []})
-        found = cosines(_matrix(left["vector"]), _matrix(right["vector"]), limit) >= limit
-        links = np.concatenate([found @ right["n"].to_numpy(), found.T @ left["n"].to_numpy()])
-        out = pd.DataFrame({"a": frame["a"].iloc[0], "b": frame["b"].iloc[0], "eid": np.concatenate([left["eid"], right["eid"]]), "links": links})
-        return out[out["links"] > 0]
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole_groups(batches, ["a", "b", "i", "j"]):
+            a, b, side, eid, n = (np.asarray(batch.column(c)) for c in ("a", "b", "side", "eid", "n"))
+            links = np.zeros(batch.num_rows, np.int64)
+            for start, stop in zip(starts, np.append(starts[1:], batch.num_rows)):
+                mine = np.arange(start, stop)
+                left, right = mine[side[mine] == 0], mine[side[mine] == 1]
+                if len(left) and len(right):
+                    units = _matrix(batch.column("vector").slice(start, stop - start))
+                    found = cosines(units[left - start], units[right - start], limit) >= limit
+                    links[left], links[right] = found @ n[right], found.T @ n[left]
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (a, b, eid, links)], ["a", "b", "eid", "links"])
     return run
 
 
@@ -242,8 +288,8 @@ def part_links(pairs: DataFrame, members: DataFrame, limit: float) -> DataFrame:
         rows = rows.withColumn("there", F.explode(F.sequence(F.lit(0), F.col(f"slots_{other}") - 1)))
         i, j = ("here", "there") if side == 0 else ("there", "here")
         sides.append(rows.select("a", "b", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "eid", "vector", "n"))
-    units = sides[0].unionByName(sides[1]).groupBy("a", "b", "i", "j")
-    return units.applyInPandas(_member_links(limit), "a long, b long, eid long, links long")
+    units = _sorted_units(sides[0].unionByName(sides[1]), ["a", "b", "i", "j"])
+    return units.mapInArrow(_member_links(limit), "a long, b long, eid long, links long")
 
 
 # ---------------------------------------------------------------- the whole
@@ -264,7 +310,7 @@ def near_duplicates(table: DataFrame, limit: float = LIMIT, vec_id: str = "vec_i
 
     met = meetings(members.select("entry", "vector"), facts.n, layout)
     units = _units(met.join(entries.select("entry", "vector", "radius"), "entry"), "entry")
-    links = units.groupBy("cell", "i", "j").applyInPandas(_entry_links(limit), "a long, b long, whole boolean")
+    links = _sorted_units(units, ["cell", "i", "j"]).mapInArrow(_entry_links(limit), "a long, b long, whole boolean")
     links = cut(links.groupBy("a", "b").agg(F.max("whole").alias("whole")))
     whole = links.filter("whole").select("a", "b")
     part = cut(part_links(links.filter("not whole").select("a", "b"), members.select("entry", "eid", "vector", "n"), limit))
