@@ -1,64 +1,36 @@
-"""Topic models: online LDA, inspection, choosing the number of topics, topics over time.
+"""Topic models: inspection, choosing the number of topics, topics over time; the model itself is in `lda`.
 
-`topics(topic, term_id|token, prob)` is the exchange form. Vocabularies are filtered by document frequency and not cut; the topic
-parameters are k numbers a term, which the driver and one broadcast hold.
+`topics(topic, term_id|token, prob)` is the exchange form. Vocabularies are filtered by document frequency and not cut.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectorloom.operators.distance import vector_sum
+from vectorloom.operators.lda import (  # noqa: F401 - one place to import topic models from
+    OnlineLda,
+    _fit_documents,
+    digamma,
+    lda_fit,
+    lda_perplexity,
+    lda_transform,
+    topic_terms_table,
+)
 from vectorloom.operators.vocab import filter_extremes, token_counts, token_runs
 from vectorloom.operators.weight import hashed_split
 from vectorloom.runtime import cut
 
 
-# ---------------------------------------------------------------- LDA
+# ---------------------------------------------------------------- documents as terms and counts
 def vectorize(docs: DataFrame, no_below: int = 5, no_above: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """((doc_id, ids, counts), vocabulary): documents over all tokens within the bounds of document frequency."""
     vocab = cut(filter_extremes(token_counts(docs), docs, no_below, no_above, None))
     return cut(chunk_documents(token_runs(docs), vocab)), vocab
 
 
-def lda_fit(chunks: DataFrame, vocab_size: int, k: int, passes: int = 1, updates: int = 4, tolerance: float = 1e-3, **options) -> OnlineLda:
-    """Online variational Bayes in `passes` over the corpus, each of `updates` updates.
-
-    A pass deals every document to one update by a hash of its id, so it visits each exactly once; passes end early when the topics
-    move by less than `tolerance`.
-    """
-    model = OnlineLda(k, vocab_size, **options)
-    size = chunks.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(updates))
-    for _ in range(passes):
-        before = model.topic_shares()
-        for turn in range(updates):
-            model.update(chunks.filter(share == turn), size)
-        if np.abs(model.topic_shares() - before).sum(1).max() < tolerance:
-            break
-    return model
-
-
-def lda_transform(model: OnlineLda, chunks: DataFrame, minimum_probability: float = 0.01, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, topic, prob) above the minimum."""
-    floor = max(minimum_probability, 1e-8)
-    return model.transform(chunks, doc_id).select(doc_id, F.posexplode("theta").alias("topic", "prob")).filter(F.col("prob") >= floor)
-
-
-def topic_terms_table(model: OnlineLda, vocab: DataFrame) -> DataFrame:
-    """(topic, term_id, token, prob) of a fitted model."""
-    rows = [(term, p) for term, p in enumerate(model.topic_shares().T.tolist())]
-    table = vocab.sparkSession.createDataFrame(rows, "term_id long, _p array<double>")
-    return vocab.select("term_id", "token").join(table, "term_id").select("term_id", "token", F.posexplode("_p").alias("topic", "prob"))
-
-
+# ---------------------------------------------------------------- words
 def word_topics(doc_topics: DataFrame, runs: DataFrame, topics: DataFrame, doc_id: str = "doc_id", key: str = "token") -> DataFrame:
     """(doc_id, token, topic, phi): topic shares of every word of a document, phi ~ theta_k * beta_kw."""
     cells = runs.select(doc_id, key).join(topics.select("topic", key, F.col("prob").alias("_b")), key).join(
@@ -68,12 +40,6 @@ def word_topics(doc_topics: DataFrame, runs: DataFrame, topics: DataFrame, doc_i
     return cells.withColumn("phi", F.col("phi") / total).select(doc_id, key, "topic", "phi")
 
 
-def lda_perplexity(model: OnlineLda, held_out: DataFrame) -> tuple[float, float]:
-    """(bound per word in bits, perplexity 2^-bound) of documents that the model was not fitted on."""
-    bound = model.bound(held_out) / math.log(2)
-    return bound, 2.0 ** -bound
-
-
 # ---------------------------------------------------------------- inspection
 def show_topics(topics: DataFrame, topn: int = 10, word: str = "token", by_abs: bool = False) -> DataFrame:
     """(topic, rank, word, prob) of the strongest words; the limit acts before the shuffle."""
@@ -94,148 +60,6 @@ def term_topics(topics: DataFrame, minimum_probability: float = 0.01, word: str
     return topics.filter(F.col("prob") >= minimum_probability).select(word, "topic", "prob")
 
 
-# ---------------------------------------------------------------- own E-step for incremental updates
-def digamma(x: np.ndarray) -> np.ndarray:
-    """Recurrence up to 6, then the asymptotic series."""
-    x = np.array(x, dtype="float64", copy=True)
-    out = np.zeros_like(x)
-    while (small := x < 6).any():
-        out[small] -= 1 / x[small]
-        x[small] += 1
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-
-
-def _expectation(a: np.ndarray) -> np.ndarray:
-    return digamma(a) - digamma(a.sum(-1, keepdims=True))
-
-
-def _fit_documents(ids: list[np.ndarray], counts: list[np.ndarray], beta: np.ndarray, alpha: np.ndarray, iterations: int, tolerance: float):
-    """Variational posterior of a batch of documents with at least one term each, given exp(E[log beta]).
-
-    The coordinate ascent of the published method, for all documents at once: with theta = exp(E[log theta]), a term of a document is
-    explained in proportion to theta * beta, and gamma = alpha + the expected counts. Returns gamma, and the flat term ids with their
-    expected counts by topic.
-    """
-    sizes = np.array([len(i) for i in ids])
-    terms, n = np.concatenate(ids).astype(np.int64), np.concatenate(counts).astype(float)
-    doc, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
-    weight = beta.T[terms]
-    gamma = alpha + np.add.reduceat(n, first)[:, None] / len(alpha)
-    expected = np.zeros_like(weight)
-    for _ in range(iterations):
-        explained = np.exp(_expectation(gamma))[doc] * weight
-        expected = explained * (n / (explained.sum(1) + 1e-100))[:, None]
-        moved = alpha + np.add.reduceat(expected, first, axis=0)
-        done = np.abs(moved - gamma).mean(1).max() < tolerance
-        gamma = moved
-        if done:
-            break
-    return gamma, terms, expected
-
-
-def _batches(pdf: pd.DataFrame, rows: int = 500) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """(places, ids, counts) of runs of documents that have terms."""
-    filled = [(at, np.asarray(i), np.asarray(c)) for at, (i, c) in enumerate(zip(pdf["ids"], pdf["counts"])) if i is not None and len(i)]
-    for first in range(0, len(filled), rows):
-        at, ids, counts = zip(*filled[first:first + rows])
-        yield np.array(at), list(ids), list(counts)
-
-
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
-
-
-class OnlineLda:
-    """Incremental LDA: every update is one Spark pass over a chunk; state is the k x vocab topic table.
-
-    Documents come as `(doc_id, ids ARRAY<INT>, counts ARRAY<DOUBLE>)`.
-    """
-
-    def __init__(self, k: int, vocab_size: int, alpha: float | None = None, eta: float | None = None, offset: float = 1.0,
-                 decay: float = 0.5, iterations: int = 50, tolerance: float = 1e-3, seed: int = 0):
-        self.k, self.vocab_size, self.offset, self.decay = k, vocab_size, offset, decay
-        self.alpha = np.full(k, 1.0 / k if alpha is None else alpha)
-        self.eta = 1.0 / k if eta is None else eta
-        self.iterations, self.tolerance, self.updates, self.seen = iterations, tolerance, 0, 0
-        self.lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, vocab_size))
-
-    def _statistics(self, docs: DataFrame) -> DataFrame:
-        beta, alpha, limit, tol = np.exp(_expectation(self.lam)), self.alpha, self.iterations, self.tolerance
-        shared = docs.sparkSession.sparkContext.broadcast(beta)  # k numbers a term
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = shared.value
-            total, n = np.zeros_like(b), 0
-            for pdf in batches:
-                n += len(pdf)
-                for _, ids, counts in _batches(pdf):
-                    _, terms, expected = _fit_documents(ids, counts, b, alpha, limit, tol)
-                    np.add.at(total.T, terms, expected)
-            at = np.flatnonzero(total.any(0))
-            yield pd.DataFrame({"term_id": np.r_[at, -1], "vector": [*total[:, at].T, np.r_[n, np.zeros(len(alpha) - 1)]]})
-
-        return docs.select("ids", "counts").mapInPandas(run, "term_id long, vector array<double>")
-
-    def update(self, docs: DataFrame, corpus_size: int | None = None) -> OnlineLda:
-        """Blend the chunk's statistics into the topics with a falling step size."""
-        found = vector_sum(self._statistics(docs), ["term_id"]).toPandas()  # at most vocab_size + 1 rows of k numbers
-        stats, chunk = np.zeros_like(self.lam), 0
-        for term, vector in zip(found["term_id"], found["vector"]):
-            if term < 0:
-                chunk = int(vector[0])
-            else:
-                stats[:, term] = vector
-        if chunk == 0:
-            return self
-        self.seen += chunk
-        rho = (self.offset + self.updates) ** -self.decay
-        total = corpus_size if corpus_size is not None else max(self.seen, chunk)
-        self.lam = (1 - rho) * self.lam + rho * (self.eta + stats * total / chunk)
-        self.updates += 1
-        return self
-
-    def transform(self, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-        """(doc_id, theta)."""
-        beta, alpha, limit, tol = np.exp(_expectation(self.lam)), self.alpha, self.iterations, self.tolerance
-        shared = docs.sparkSession.sparkContext.broadcast(beta)
-
-        def theta(ids: pd.Series, counts: pd.Series) -> pd.Series:
-            out = np.tile(alpha / alpha.sum(), (len(ids), 1))
-            for at, i, c in _batches(pd.DataFrame({"ids": ids, "counts": counts})):
-                gamma = _fit_documents(i, c, shared.value, alpha, limit, tol)[0]
-                out[at] = gamma / gamma.sum(1, keepdims=True)
-            return pd.Series(list(out))
-
-        return docs.select(doc_id, F.pandas_udf(theta, "array<double>")("ids", "counts").alias("theta"))
-
-    def topic_shares(self) -> np.ndarray:
-        return self.lam / self.lam.sum(1, keepdims=True)
-
-    def bound(self, docs: DataFrame) -> float:
-        """Variational lower bound of the log likelihood per word of `docs`, in nats; the topics' own term counts once."""
-        log_beta, alpha, limit, tol = _expectation(self.lam), self.alpha, self.iterations, self.tolerance
-        shared = docs.sparkSession.sparkContext.broadcast(log_beta)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lb = shared.value
-            total = words = 0.0
-            for pdf in batches:
-                for _, ids, counts in _batches(pdf):
-                    gamma, terms, _ = _fit_documents(ids, counts, np.exp(lb), alpha, limit, tol)
-                    n, log_theta = np.concatenate(counts), _expectation(gamma)
-                    doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-                    total += float(n @ np.log(np.exp(log_theta[doc] + lb.T[terms]).sum(1) + 1e-300))
-                    total += float(((alpha - gamma) * log_theta).sum() + (_log_gamma(gamma) - _log_gamma(alpha)).sum())
-                    total += float(len(ids) * math.lgamma(alpha.sum()) - _log_gamma(gamma.sum(1)).sum())
-                    words += float(n.sum())
-            yield pd.DataFrame({"total": [total], "words": [words]})
-
-        total, words = docs.select("ids", "counts").mapInPandas(score, "total double, words double").agg(F.sum("total"), F.sum("words")).first()
-        own = float(((self.eta - self.lam) * log_beta).sum() + (_log_gamma(self.lam) - math.lgamma(self.eta)).sum())
-        own += float(self.k * math.lgamma(self.eta * self.vocab_size) - _log_gamma(self.lam.sum(1)).sum())
-        return ((total or 0.0) + own * min(1.0, docs.count() / max(1, self.seen))) / max(1.0, words or 0.0)
-
-
 def chunk_documents(runs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids, counts) for `OnlineLda`."""
     pairs = runs.join(vocab.select("token", "term_id"), "token").groupBy(doc_id).agg(
@@ -245,17 +69,29 @@ def chunk_documents(runs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id") -
 
 # ---------------------------------------------------------------- number of topics, topics over time
 def choose_topic_count(docs: DataFrame, chunks: DataFrame, vocab: DataFrame, candidates: list[int],
-                       measure: str = "u_mass", seed: int = 0, topn: int = 10, **options) -> DataFrame:
-    """(k, perplexity, coherence) per candidate: fits scored by held-out bound and topic coherence."""
+                       measure: str = "u_mass", seed: int = 0, topn: int = 10, at_once: int = 4, **options) -> DataFrame:
+    """(k, perplexity, coherence) per candidate: fits scored by held-out bound and topic coherence.
+
+    Candidates are independent, so `at_once` of them submit their jobs side by side: an update is short, and alone leaves cores idle.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from vectorloom.operators.coherence import coherence
 
-    train, test = hashed_split(cut(chunks), ["doc_id"], 0.9, seed)
-    size, out = vocab.count(), []
-    for k in candidates:
+    spark = chunks.sparkSession
+    train, test = (cut(part) for part in hashed_split(cut(chunks), ["doc_id"], 0.9, seed))
+    size = vocab.count()
+
+    def fit(k: int) -> tuple[int, float, float]:
         model = lda_fit(train, size, k, seed=seed, **options)
         best = show_topics(topic_terms_table(model, vocab), topn).select("topic", (F.col("rank") - 1).alias("rank"), "token")
-        out.append((k, float(lda_perplexity(model, test)[1]), float(coherence(docs, cut(best), measure).first()[0])))
-    return chunks.sparkSession.createDataFrame(out, "k int, perplexity double, coherence double")
+        return k, float(lda_perplexity(model, test)[1]), float(coherence(docs, cut(best), measure).first()[0])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        out = list(pool.map(inheritable_thread_target(spark)(fit), candidates))
+    return spark.createDataFrame(out, "k int, perplexity double, coherence double")
 
 
 def topic_evolution(word_shares: DataFrame, slices: DataFrame, chain: float = 0.5, doc_id: str = "doc_id",

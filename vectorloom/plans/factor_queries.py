@@ -196,7 +196,9 @@ def _(spark, d):
     vocab = cut(v.filter_extremes(v.token_counts(docs), docs, 5, 0.5, None))
     stream, state = doc_stream(spark, d, "sl")
     inc.stream_lda_update(stream, state, vocab, tp.OnlineLda(6, vocab.count(), seed=1))
-    return inc.latest(spark, f"{state}/model").select("topic", F.posexplode("weights").alias("term_id", "weight"), "updates", "seen")
+    facts = inc.latest(spark, f"{state}/facts").first()
+    return inc.latest(spark, f"{state}/model").select("term_id", F.posexplode("vector").alias("topic", "weight"), F.lit(facts.updates).alias("updates"),
+                                                      F.lit(facts.seen).alias("seen"))
 
 
 @query("stream_lsi_update")

@@ -86,11 +86,20 @@ def _(spark, d):
     return spark.createDataFrame([tp.lda_perplexity(model, held_out)], "bound double, perplexity double")
 
 
+@query("lda_learned_priors")
+def _(spark, d):
+    """Both priors learned from the corpus, beside the topics' shares of it."""
+    chunks, vocab = tp.vectorize(documents(spark, d))
+    model = tp.lda_fit(chunks, vocab.count(), 8, passes=2, alpha="auto", eta="auto")
+    rows = [(t, float(a), float(e), float(n)) for t, (a, e, n) in enumerate(zip(model.alpha, model.eta, model.totals / model.totals.sum()))]
+    return spark.createDataFrame(rows, "topic int, alpha double, eta double, share double")
+
+
 @query("choose_topic_count")
 def _(spark, d):
     docs = documents(spark, d)
     chunks, vocab = tp.vectorize(docs)
-    return tp.choose_topic_count(docs, chunks, vocab, [4, 8])
+    return tp.choose_topic_count(docs, chunks, vocab, [2, 4, 6, 8, 12])
 
 
 # topics given by the data: word shares per language
@@ -137,9 +146,13 @@ def _(spark, d):
     return out.select("slice", "topic", "token", r6(F.col("prob"), "prob"))
 
 
-@query("topic_evolution_tables", f"WITH {OCC} SELECT token, count(*) AS frequency FROM occ GROUP BY token")
+@query("topic_evolution_tables",
+       f"WITH {OCC} SELECT 'frequency' AS kind, token AS key, count(*) AS n FROM occ GROUP BY token "
+       "UNION ALL SELECT 'length', CAST(doc_id AS VARCHAR), count(*) FROM occ GROUP BY doc_id")
 def _(spark, d):
-    return tp.evolution_tables(v.token_runs(documents(spark, d)))[1]
+    lengths, frequencies = tp.evolution_tables(v.token_runs(documents(spark, d)))
+    return frequencies.select(F.lit("frequency").alias("kind"), F.col("token").alias("key"), F.col("frequency").alias("n")).unionByName(
+        lengths.select(F.lit("length").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("length").alias("n")))
 
 
 @query("online_lda")

@@ -58,6 +58,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """Parquet copies of a table that a loop rewrites; `put` writes the next one, continues from it and removes the one before the last.
+
+    A copy's size estimate comes from its files. That of a checkpointed plan is inherited from the plan, and joins multiply it with
+    each step, so that after some twenty steps planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.turn = spark, scratch_dir(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{self.turn}")
+        if self.turn >= 2:
+            remove_folder(self.spark, f"{self.folder}/{self.turn - 2}")
+        self.turn += 1
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.turn - 1}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def dense_ids(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Number the rows of `df` 0,1,2,... in `order` without a single-task sort.
 

@@ -122,21 +122,31 @@ def query_index(spark: SparkSession, state: str, docs: DataFrame, k: int, query_
 
 # ---------------------------------------------------------------- models
 def stream_lda_update(stream: DataFrame, state: str, words: DataFrame, model: topics.OnlineLda) -> StreamingQuery:
-    """One online LDA update per batch; topics are written per batch and reloaded, so a replay repeats one update."""
+    """One online LDA update per batch; the topic table is written per batch and read again, so a replay repeats one update.
+
+    The state of a batch is a table (term_id, vector) and one row of what the driver knows (updates, documents seen, priors).
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch_id > 0:
-            old = spark.read.parquet(f"{state}/model/batch={batch_id - 1}").orderBy("topic").collect()  # k rows
-            model.lam = np.array([r["weights"] for r in old])
-            model.updates, model.seen = old[0]["updates"], old[0]["seen"]
+            read_lda(spark, state, batch_id - 1, model)
         model.update(cut(topics.chunk_documents(token_runs(batch), words)))
-        rows = [(t, [float(x) for x in w], model.updates, model.seen) for t, w in enumerate(model.lam)]
-        spark.createDataFrame(rows, "topic int, weights array<double>, updates long, seen long").write.mode("overwrite").parquet(
-            f"{state}/model/batch={batch_id}")
+        facts = [(model.updates, model.seen, model.alpha.tolist(), model.eta.tolist())]
+        model.table(spark).write.mode("overwrite").parquet(f"{state}/model/batch={batch_id}")
+        spark.createDataFrame(facts, "updates long, seen long, alpha array<double>, eta array<double>").write.mode("overwrite").parquet(
+            f"{state}/facts/batch={batch_id}")
 
     return _run(stream, state, each)
 
 
+def read_lda(spark: SparkSession, state: str, batch_id: int, model: topics.OnlineLda) -> topics.OnlineLda:
+    """`model` as it was after a batch of `stream_lda_update`."""
+    facts = spark.read.parquet(f"{state}/facts/batch={batch_id}").first()
+    model.restore(spark.read.parquet(f"{state}/model/batch={batch_id}"), written=True)
+    model.updates, model.seen, model.alpha, model.eta = facts.updates, facts.seen, np.array(facts.alpha), np.array(facts.eta)
+    return model
+
+
 def stream_lsi_update(stream: DataFrame, state: str, words: DataFrame, k: int, decay: float = 1.0) -> StreamingQuery:
     """Fold each batch's projection into the running one; decay < 1 forgets. State: term vectors and singular values."""
     def each(batch: DataFrame, batch_id: int) -> None:
