@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import vectors as vx
 from vectorloom.operators.distance import vector_mean
+from vectorloom.operators.sparse_join import top_k_join
 from vectorloom.operators.weight import pack, unit_length
 from vectorloom.runtime import fits, hash01
 
@@ -164,9 +165,13 @@ def index_documents(rows: DataFrame, doc_id: str = "doc_id", key: str = "term_id
 
 def sparse_similarity(queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str = "doc_id",
                       drop_self: bool = False) -> DataFrame:
-    """Top-k cosine of packed queries against a packed index, largest absolute score first."""
-    return top_k(queries, index, _sparse_prepare, k, query_id, index_id, by_abs=True, drop_self=drop_self,
-                 query_block=256, index_block=20_000)
+    """Top-k cosine of packed queries against a packed index, largest absolute score first.
+
+    Few queries are scored against the index in place; more go through an inverted index with exact bounds (`sparse_join`).
+    """
+    if not fits(queries, 256):
+        return top_k_join(queries, index, k, query_id, index_id, drop_self)
+    return top_k(queries, index, _sparse_prepare, k, query_id, index_id, by_abs=True, drop_self=drop_self, query_block=256)
 
 
 def similarity_self_join(index: DataFrame, k: int, doc_id: str = "doc_id") -> DataFrame:
@@ -192,12 +197,6 @@ def add_documents(path: str, index: DataFrame, doc_id: str = "doc_id", buckets:
      .repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path))
 
 
-def density(rows: DataFrame, doc_id: str = "doc_id", key: str = "term_id") -> float:
-    """Share of filled cells; below 0.3 the sparse path is the better one."""
-    n, docs, terms = rows.agg(F.count("*"), F.approx_count_distinct(doc_id), F.max(key)).first()
-    return 0.0 if not n else n / (docs * (terms + 1))
-
-
 # ---------------------------------------------------------------- dense vectors
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype("float64")
