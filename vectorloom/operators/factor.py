@@ -1,8 +1,9 @@
 """Lookup-factor training: CP tensor factorisation (plain, symmetric, joint), GloVe, skip-gram, CBOW, document vectors.
 
-One step is: join the coordinate rows with the factor rows of their indices, form each mode's gradient, sum per
-factor row (partial sums first), update the factor table by a join. Factors stay distributed; they are broadcast only
-while a count shows them small. State is written to the checkpoint folder after every step.
+Models of coordinate rows are trained in strata (`strata`): blocks of rows meet blocks of factors, with many updates a pass. The full-batch
+step below serves streams and CBOW: join the rows with the factor rows of their indices, form each mode's gradient, sum per factor row
+(partial sums first), update the factor table by a join. Factors stay distributed; they are broadcast only while a count
+shows them small. State is written after every step.
 
 `tensor(i, j[, k, l], value)`; `state(f, idx, vec, m, v)` with f naming the factor.
 """
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from vectorloom.functions import vectors as vx
 from vectorloom.operators.cooc import MODES
 from vectorloom.operators.spectral import gram, times
-from vectorloom.runtime import cut, fits, hash01
+from vectorloom.operators.strata import descend, settled
+from vectorloom.runtime import Kept, cut, fits, hash01
 
 # Optimiser settings.
 RATES = {"adam": 1e-3, "sgd": 1.0, "adagrad": 0.05}
-#: Training ends when a step lowers the loss by a smaller share than this.
+#: Training ends when the best loss of some passes is better than before by a smaller share than this.
 TOLERANCE = 5e-3
 
 
@@ -186,16 +188,11 @@ def update(state: DataFrame, grads: DataFrame, settings: Settings, t: int) -> Da
     return s.select("f", "idx", "vec", "m", "v")
 
 
-def settled(losses: list[float], tolerance: float) -> bool:
-    """True once the loss of the last step fell by less than `tolerance` of itself, or rose."""
-    return len(losses) > 1 and losses[-2] - losses[-1] < tolerance * abs(losses[-2])
-
-
 def train(parts: list[tuple[DataFrame, dict[str, str], float]], settings: Settings, steps: int, kind: str = "square",
           state: DataFrame | None = None, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """Full-batch training over weighted terms sharing factors: `parts` = [(rows, factors, term weight)].
+    """Stratified training over weighted terms sharing factors: `parts` = [(rows, factors, term weight)].
 
-    Ends when the loss settles within `tolerance`, after `steps` steps at the latest.
+    `steps` passes at most, each of many updates (`strata.descend`); ends when the loss has settled within `tolerance`.
     """
     ready = []
     for rows, factors, weight in parts:
@@ -207,18 +204,7 @@ def train(parts: list[tuple[DataFrame, dict[str, str], float]], settings: Settin
         for rows, factors, _ in ready[1:]:
             more = start_from_tensor(rows, factors, settings)
             state = cut(state.unionByName(more.join(state.select("f", "idx"), ["f", "idx"], "left_anti")))
-    losses = []
-    for t in range(1, steps + 1):
-        grads = None
-        for rows, factors, n in ready:
-            g = gradients(rows, state, factors, settings, kind, n)
-            grads = g if grads is None else grads.unionByName(g)
-        grads = cut(sum_gradients(grads) if len(ready) > 1 else grads)
-        losses.append(loss_of(grads))
-        state = cut(update(state, grads, settings, t))
-        if settled(losses, tolerance):
-            break
-    return state, losses
+    return descend(ready, state, settings, steps, kind, tolerance)
 
 
 def factor_table(state: DataFrame, f: str = "U") -> DataFrame:
@@ -226,16 +212,17 @@ def factor_table(state: DataFrame, f: str = "U") -> DataFrame:
 
 
 # ---------------------------------------------------------------- CP factorisations
-def cp_decompose(tensor: DataFrame, rank: int, steps: int = 50, **options) -> tuple[DataFrame, list[float]]:
+def cp_decompose(tensor: DataFrame, rank: int, steps: int = 50, tolerance: float = TOLERANCE, **options) -> tuple[DataFrame, list[float]]:
     """One factor per mode (U, V, W, X)."""
     factors = dict(zip(modes_of(tensor), "UVWX"))
-    return train([(tensor, factors, 1.0)], Settings(rank, **options), steps)
+    return train([(tensor, factors, 1.0)], Settings(rank, **options), steps, tolerance=tolerance)
 
 
-def cp_symmetric(tensor: DataFrame, rank: int, steps: int = 50, nonnegative: bool = False, **options) -> tuple[DataFrame, list[float]]:
+def cp_symmetric(tensor: DataFrame, rank: int, steps: int = 50, nonnegative: bool = False, tolerance: float = TOLERANCE,
+                 **options) -> tuple[DataFrame, list[float]]:
     """One factor for all modes; `nonnegative` keeps it at or above zero."""
     factors = {m: "U" for m in modes_of(tensor)}
-    return train([(tensor, factors, 1.0)], Settings(rank, nonnegative=nonnegative, **options), steps)
+    return train([(tensor, factors, 1.0)], Settings(rank, nonnegative=nonnegative, **options), steps, tolerance=tolerance)
 
 
 def cp_joint_symmetric(tensors: list[tuple[DataFrame, float]], rank: int, steps: int = 50, **options) -> tuple[DataFrame, list[float]]:
@@ -269,7 +256,7 @@ def cp_als(tensor: DataFrame, rank: int, steps: int = 10, sequential: bool = Tru
     settings = Settings(rank, seed=seed)
     rows = cut(tensor.withColumn("weight", F.lit(1.0)))
     n = max(1, rows.count())
-    state = start_from_tensor(rows, factors, settings)
+    state, kept = start_from_tensor(rows, factors, settings), Kept(rows.sparkSession, "als")
     losses = []
     for t in range(1, steps + 1):
         eta = 1 / (1 + t ** decay)
@@ -291,12 +278,12 @@ def cp_als(tensor: DataFrame, rank: int, steps: int = 10, sequential: bool = Tru
                     F.zip_with("vec", "_new", lambda a, b: (1 - eta) * a + eta * b))).drop("_new")
             moved[f] = mine
             if sequential:
-                state = cut(state.filter(F.col("f") != f).unionByName(mine))
+                state = kept.put(state.filter(F.col("f") != f).unionByName(mine))
         if not sequential:
             out = None
             for part in moved.values():
                 out = part if out is None else out.unionByName(part)
-            state = cut(out)
+            state = kept.put(out)
         e = predict(rows, state, factors, settings).agg(F.sum(F.pow(F.col("pred") - F.col("value"), F.lit(2.0)))).first()[0]
         losses.append(float(e or 0.0) / n)
         if settled(losses, TOLERANCE):
@@ -392,7 +379,7 @@ def cbow(windows: DataFrame, counts: DataFrame, rank: int, steps: int = 10, nega
     outputs = cut(positive.unionByName(drawn.filter("negative <> target").select("ex", F.col("negative").cast("long").alias("o"), F.lit(0.0).alias("value"))))
     total = float(max(1, outputs.count()))
     ids = inputs.select(F.lit("C").alias("f"), F.col("j").alias("idx")).unionByName(outputs.select(F.lit("O").alias("f"), F.col("o").alias("idx")))
-    state = initial_state(ids, settings, 0.0, 1 / math.sqrt(rank))
+    state, kept = initial_state(ids, settings, 0.0, 1 / math.sqrt(rank)), Kept(examples.sparkSession, "cbow")
     losses = []
     share = 1 / F.col("n") if mean else F.lit(1.0)
     for t in range(1, steps + 1):
@@ -407,7 +394,7 @@ def cbow(windows: DataFrame, counts: DataFrame, rank: int, steps: int = 10, nega
             "ex", vector_to_array("_s").alias("_e"))
         in_grad = inputs.join(back, "ex").select(F.lit("C").alias("f"), F.col("j").alias("idx"), vx.scale(F.col("_e"), share).alias("grad"))
         losses.append(float(scored.agg(F.sum("_loss")).first()[0] or 0.0))
-        state = cut(update(state, sum_gradients(out_grad.unionByName(in_grad)), settings, t))
+        state = kept.put(update(state, sum_gradients(out_grad.unionByName(in_grad)), settings, t))
         if settled(losses, TOLERANCE):
             break
     return state, losses

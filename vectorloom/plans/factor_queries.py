@@ -13,8 +13,8 @@ from vectorloom.functions.text import simple_preprocess
 from vectorloom.runtime import cut, scratch_dir
 from vectorloom.streaming import incremental as inc
 
-#: Most steps of a training; it ends earlier when the loss settles (factor.TOLERANCE).
-STEPS = 12
+#: Most passes of a training; it ends earlier when the loss settles (factor.TOLERANCE).
+STEPS = 10
 
 
 def _vectors(state, losses, f="U"):
@@ -29,12 +29,12 @@ def _(spark, d):
 
 @query("cp_sals")
 def _(spark, d):
-    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 10))
+    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 15))
 
 
 @query("cp_2sgd")
 def _(spark, d):
-    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 10, sequential=False))
+    return _vectors(*fa.cp_als(c.symmetrize(tensor(spark, d, 2)[0]), 8, 15, sequential=False))
 
 
 @query("cp_symmetric")
