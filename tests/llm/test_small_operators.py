@@ -233,11 +233,12 @@ def test_neighbours_edges(spark, monkeypatch):
     good = [(i, (rng.normal(size=6) * rng.uniform(0.1, 9)).tolist(), 0) for i in range(120)]
     good += [(i, good[0][1], 0) for i in range(120, 200)] + [(200, good[5][1], 1)]
     bad = [(300, None, 0), (320, [0.0] * 6, 0), (340, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0), (360, [float("nan")] * 6, 0), (380, [float("inf")] * 6, 0),
-           (400, [1.0, 2.0], 0), (420, [], 0), (None, [1.0] * 6, 0)]
+           (400, [1.0, 2.0], 0), (420, [], 0), (440, [1.0] * 9, 0), (None, [1.0] * 6, 0)]
     frame = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>, rank int")
     want = near([x for _, x, _ in good], [i for i, _, _ in good], 20)
     for cell in (cross_polytope.CELL_BYTES, 6 * 8 * 10):  # the second one splits crowded buckets
         monkeypatch.setattr(cross_polytope, "CELL_BYTES", cell)
+        monkeypatch.setattr(cross_polytope, "PROBE_BYTES", cell)  # queries in small runs, too
         got = {}
         for r in cross_polytope.nearest(frame, F.col("id") % 20 == 0, probe_rate=99).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id))

@@ -13,7 +13,7 @@ answers each with its k best, so no pair is ever a row. A bucket larger than a c
 its parts. Equal vectors are one entry with its k + 1 smallest ids, found from salted groups: a vector that a third of all rows share
 is one entry of a bucket. Nothing is capped; recall is what the probes reach (see README).
 
-Cases: vectors that are null, empty, zero, hold null or non-finite components or have fewer components than the longest take no part,
+Cases: vectors that are null, empty, zero, hold null or non-finite components or have another length than most take no part,
 neither as queries nor as candidates; with fewer candidates than k all found are returned; ties go to the smaller id; an empty table
 gives an empty result.
 """
@@ -38,6 +38,8 @@ TABLES, PROBE_RATE, BUCKET_ROWS = 24, 1.6, 3
 BANDS = 4
 #: Bytes of vectors in a cell.
 CELL_BYTES = 32 << 20
+#: Bytes that the probes of a run of queries take while they are ranked.
+PROBE_BYTES = 64 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -157,12 +159,13 @@ def all_probes(hashing: dict[int, CrossPolytope], points: np.ndarray, table: int
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): rows whose vector has the full length, no null, only finite components and is not zero; v as array<double>."""
+    """(id, v): rows whose vector has the most frequent length (of equally frequent ones the larger), no null, only finite components and
+    is not zero; v as array<double>."""
     x = F.col(vector).cast("array<double>")
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
     out = rows.select(F.col(key).alias("id"), x.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & good)
-    longest = out.agg(F.max(F.size("v"))).first()[0]
-    return out.filter(F.size("v") == (longest or 0))
+    usual = out.groupBy(F.size("v").alias("size")).count().agg(F.max(F.struct("count", "size")).alias("m")).first().m
+    return out.filter(F.size("v") == (usual["size"] if usual else 0))
 
 
 def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES,
@@ -208,9 +211,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector:
     index = index.join(parts, ["t", "cell"], "left").select("t", "cell", part.alias("part"), "bucket", "rep", "v")
 
     def probing(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        widest = max(f.probes * (2 * max(f.axes, default=1) + f.probes) for f in hashing.values()) if hashing else 1
+        step = max(1, PROBE_BYTES // (16 * widest))
+        for batch in (whole.iloc[first:first + step] for whole in batches for first in range(0, len(whole), step)):
             at = next(iter(hashing.values())).placed(stack(batch["v"]), query=True)
             for t in range(tables):
                 codes = all_probes(hashing, at, t)
