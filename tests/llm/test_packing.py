@@ -89,14 +89,3 @@ def test_added_tokens_keep_their_ids(written):
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
         got.setdefault(r.doc_id, []).extend(r.ids)
     assert got == {i: [*ids, packing.END_ID] for i, ids in enumerate(want)}
-
-
-def test_tokenizer_remembers_few_bytes(monkeypatch):
-    """The table of pieces is bounded by bytes, long pieces are not kept, and ids do not change when it is emptied."""
-    rng = random.Random(2)
-    texts = ["x" * 5000 + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(30)]
-    plenty = tokens.WordTokenizer().encode(texts)
-    monkeypatch.setattr(tokens, "REMEMBERED", 20_000)
-    small = tokens.WordTokenizer()
-    assert [small.encode([t])[0] for t in texts] == plenty
-    assert small.held < 150_000 and max(map(len, [*small.chunks, *small.pieces])) <= tokens.SHORT
