@@ -132,3 +132,31 @@ def test_phrase_lookup_takes_longest_known_stretches(spark):
     assert got == {1: [0.5, 0.5], 2: [9.0, 9.0], 4: [4.0, 4.0]}
     parts = {r["phrase_id"]: r["vector"] for r in s.phrase_lookup(q, e, whole_phrases=False).collect()}
     assert parts[1] == pytest.approx([6.0, 19 / 3])
+
+
+def test_divergence_without_mass(spark):
+    rows = spark.createDataFrame([(1, "a", 2.0), (1, "b", 2.0), (2, "a", 1.0), (2, "b", 3.0)], "doc_id long, term_id string, weight double")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 1), (3, 4)], "a long, b long")
+    got = {(r.a, r.b): r.divergence for r in dist.kullback_leibler(pairs, rows).collect()}
+    assert got[1, 2] == pytest.approx(0.5 * math.log(2) + 0.5 * math.log(2 / 3))
+    assert math.isnan(got[1, 3]) and math.isnan(got[3, 1]) and (3, 4) not in got
+    smooth = {(r.a, r.b): r.divergence for r in dist.kullback_leibler(pairs, rows, smooth=1.0).collect()}
+    assert smooth[1, 2] == pytest.approx(0.5 * math.log(1.5) + 0.5 * math.log(0.75))
+    assert smooth[1, 3] == pytest.approx(0) and smooth[3, 1] == pytest.approx(0)
+
+
+def test_alignment_moves_documents_once(spark):
+    rows = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "a", 1.0), (2, "b", 3.0)], "doc_id long, term_id string, weight double")
+    pairs = spark.createDataFrame([(1, 2), (2, 2), (2, 3)], "a long, b long")
+    got = {tuple(r) for r in dist.aligned(pairs, rows).collect()}
+    assert got == {(1, 2, "a", 3.0, 1.0), (1, 2, "b", 0.0, 3.0), (2, 2, "a", 1.0, 1.0), (2, 2, "b", 3.0, 3.0), (2, 3, "a", 1.0, 0.0), (2, 3, "b", 3.0, 0.0)}
+    adaptive, size = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = dist.kullback_leibler(pairs, rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    # pairs by a, pairs with one document by b, packed documents; the same exchange again for the partner
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4

@@ -19,13 +19,19 @@ def aligned(pairs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", key: str
             weight: str = "weight") -> DataFrame:
     """(a, b, term, wa, wb): both documents of every pair on a common term axis, absent terms as 0.
 
-    Built as a tagged union and one grouped sum: a full outer join without joining the two sides.
+    A document travels as one packed row, once to its place and once more to its partner. Terms are unpacked where `b` lives, which
+    is where all rows of (a, b) are: neither the sum over equal terms nor a later one over (a, b) moves anything.
     """
-    rows = rows.select(F.col(doc_id).alias("_d"), F.col(key).alias("term"), F.col(weight).cast("double").alias("_w"))
+    entry = F.struct(F.col(key).alias("term"), F.col(weight).cast("double").alias("w"))
+    packed = rows.groupBy(F.col(doc_id).alias("_d")).agg(F.collect_list(entry).alias("_l"))
+    one = pairs.select("a", "b").join(packed, F.col("a") == F.col("_d"), "left").select("a", "b", F.col("_l").alias("_la"))
+    both = one.join(packed, F.col("b") == F.col("_d"), "left").select("a", "b", "_la", F.col("_l").alias("_lb"))
     zero = F.lit(0.0)
-    left = pairs.join(rows, pairs.a == rows._d).select("a", "b", "term", F.col("_w").alias("wa"), zero.alias("wb"))
-    right = pairs.join(rows, pairs.b == rows._d).select("a", "b", "term", zero.alias("wa"), F.col("_w").alias("wb"))
-    return left.unionByName(right).groupBy("a", "b", "term").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
+    left = F.transform("_la", lambda x: F.struct(x["term"].alias("term"), x["w"].alias("wa"), zero.alias("wb")))
+    right = F.transform("_lb", lambda x: F.struct(x["term"].alias("term"), zero.alias("wa"), x["w"].alias("wb")))
+    terms = F.concat(F.coalesce(left, F.array()), F.coalesce(right, F.array()))
+    return both.select("a", "b", F.explode(terms).alias("_t")).groupBy("a", "b", F.col("_t.term").alias("term")).agg(
+        F.sum("_t.wa").alias("wa"), F.sum("_t.wb").alias("wb"))
 
 
 def _per_pair(pairs: DataFrame, both: DataFrame, value, name: str, empty: float | None = None) -> DataFrame:
@@ -42,18 +48,17 @@ def cossim(pairs: DataFrame, rows: DataFrame, **cols) -> DataFrame:
     return _per_pair(pairs, aligned(pairs, rows, **cols), value, "similarity", empty=0.0)
 
 
-def _as_probabilities(both: DataFrame) -> DataFrame:
-    sums = both.groupBy("a", "b").agg(F.sum("wa").alias("_sa"), F.sum("wb").alias("_sb"))
-    return both.join(sums, ["a", "b"]).select(
-        "a", "b", "term", (F.col("wa") / F.col("_sa")).alias("wa"), (F.col("wb") / F.col("_sb")).alias("wb"))
+def kullback_leibler(pairs: DataFrame, rows: DataFrame, smooth: float = 0.0, **cols) -> DataFrame:
+    """sum p ln(p/q) after adding `smooth` to every weight of the pair's common axis and scaling both to sum 1.
 
-
-def kullback_leibler(pairs: DataFrame, rows: DataFrame, **cols) -> DataFrame:
-    """sum p ln(p/q) after scaling both to sum 1; infinite when p has mass where q has none."""
-    both = _as_probabilities(aligned(pairs, rows, **cols))
-    p, q = F.col("wa"), F.col("wb")
-    term = (F.when(p == 0, 0.0).when(q == 0, float("inf")).otherwise(p * F.log(p / q)))
-    return _per_pair(pairs, both, F.sum(term), "divergence")
+    Infinite when p has mass where q has none; NaN when a side has no mass, which no scaling makes a distribution. With the totals A and
+    B, the sum is that of a ln(a/b) over A plus ln(B/A), so that one pass needs no totals beforehand.
+    """
+    both = aligned(pairs, rows, **cols).select("a", "b", (F.col("wa") + smooth).alias("wa"), (F.col("wb") + smooth).alias("wb"))
+    term = F.when(F.col("wa") == 0, 0.0).when(F.col("wb") == 0, float("inf")).otherwise(F.col("wa") * F.log(F.col("wa") / F.col("wb")))
+    a, b = F.sum("wa"), F.sum("wb")
+    value = F.when((a > 0) & (b > 0), F.sum(term) / a + F.log(b / a)).otherwise(float("nan"))
+    return _per_pair(pairs, both, value, "divergence")
 
 
 def hellinger(pairs: DataFrame, rows: DataFrame, keys: str = "union", **cols) -> DataFrame:
