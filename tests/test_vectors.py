@@ -160,3 +160,10 @@ def test_alignment_moves_documents_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     # pairs by a, pairs with one document by b, packed documents; the same exchange again for the partner
     assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4
+
+
+def test_report_rounds_as_c_does(spark):
+    vectors = [("a", [1.0, 0.0]), ("b", [0.4795, (1 - 0.4795 ** 2) ** 0.5]), ("c", [-0.0001, -1.0])]
+    e = spark.createDataFrame([(i, n, x) for i, (n, x) in enumerate(vectors)], "idx long, word string, vector array<double>")
+    got = s.neighbour_report(e.filter("word = 'a'"), e, 2).first()["neighbours"]
+    assert got == f"b:{0.4795:.3f} c:{-0.0001:.3f}" == "b:0.479 c:-0.000"

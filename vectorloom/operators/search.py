@@ -312,7 +312,8 @@ def neighbour_report(words: DataFrame, embedding: DataFrame, k: int = 10, word:
     """(word, neighbours): the k nearest words of each listed word, nearest first, as `name:cosine` joined by blanks."""
     asked = words.select(F.col(word).alias("query_id"), F.col(word).alias("word"), F.lit(1.0).alias("weight"))
     found = most_similar(asked, embedding, k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "hit_id", "score"))).alias("_l"))
-    shown = F.transform("_l", lambda x: F.format_string("%s:%.3f", x["hit_id"], x["score"]))
+    # format_number rounds the exact value of a double as C does; format_string would round its shortest decimal form (0.4795 up)
+    shown = F.transform("_l", lambda x: F.concat_ws(":", x["hit_id"], F.format_number(x["score"], 3)))
     return found.select(F.col("query_id").alias(word), F.array_join(shown, " ").alias("neighbours"))
 
 
