@@ -195,3 +195,24 @@ def test_distributed_memory_vectors(spark, toy):
     state, losses = fa.doc_vectors_dm(cooc.context_windows(cooc.to_ids(toy, vocab), 2, fixed_size=False), vocab, 4, 3, negatives=2)
     assert losses[-1] < losses[0]
     assert {r["doc_id"] for r in fa.document_table(state).collect()} == set(range(9))
+
+
+def test_ids_are_looked_up_beside_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, ["x"]), (3, None), (4, []), (5, [None, "c"])], "doc_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 7), ("b", 3), ("c", 0)], "token string, term_id long")
+    found = cooc.to_ids(docs, vocab)
+    assert {r.doc_id: r.ids for r in found.collect()} == {1: [3, 7, 3], 5: [0]}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(cooc, "LOOKUP_ROWS", 2)
+    joined = cooc.to_ids(docs, vocab)
+    assert {r.doc_id: r.ids for r in joined.collect()} == {1: [3, 7, 3], 5: [0]} and joined.dtypes == found.dtypes
+
+
+def test_rare_tuples_go_before_the_joins(spark):
+    counts = spark.createDataFrame([(0, 1, 9), (0, 2, 5), (1, 2, 6)], "i long, j long, count long")
+    unigrams = spark.createDataFrame([(0, 20), (1, 20), (2, 20)], "term_id long, count long")
+    plan = lambda **o: cooc.ppmi_tensor(counts, unigrams, **o)._jdf.queryExecution().optimizedPlan().toString()
+    assert "> 5" in plan().split("Join")[-1] and "> 5" not in plan(shift=1.0).split("Join")[-1]
+    values = {(r.i, r.j): r.value for r in cooc.ppmi_tensor(counts, unigrams).collect()}
+    assert set(values) == {(0, 1), (1, 2)}
+    assert {(r.i, r.j) for r in cooc.ppmi_tensor(counts, unigrams, shift=1.0).collect()} == {(0, 1), (0, 2), (1, 2)}
