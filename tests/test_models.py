@@ -216,3 +216,13 @@ def test_rare_tuples_go_before_the_joins(spark):
     values = {(r.i, r.j): r.value for r in cooc.ppmi_tensor(counts, unigrams).collect()}
     assert set(values) == {(0, 1), (1, 2)}
     assert {(r.i, r.j) for r in cooc.ppmi_tensor(counts, unigrams, shift=1.0).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_carried_vectors_are_added_up_in_place(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 1, 3.0), (3, 9, 1.0), (4, None, 1.0)], "doc_id long, term_id long, weight double")
+    vectors = spark.createDataFrame([(1, [0.0, 5.0]), (0, [1.0, 2.0])], "term_id long, vector array<double>")
+    found = sp.carry(rows, vectors, "term_id", "doc_id")
+    assert {r.doc_id: r.vector for r in found.collect()} == {1: [2.0, 9.0], 2: [0.0, 15.0]}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sp, "LOOKUP_ROWS", 1)
+    assert {r.doc_id: r.vector for r in sp.carry(rows, vectors, "term_id", "doc_id").collect()} == {1: [2.0, 9.0], 2: [0.0, 15.0]}
