@@ -226,3 +226,17 @@ def test_carried_vectors_are_added_up_in_place(spark, monkeypatch):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(sp, "LOOKUP_ROWS", 1)
     assert {r.doc_id: r.vector for r in sp.carry(rows, vectors, "term_id", "doc_id").collect()} == {1: [2.0, 9.0], 2: [0.0, 15.0]}
+
+
+def test_sentence_scores_exchange_sums_only(spark):
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (2, 1, 0), (3, 0, 9)], "doc_id long, target long, context long")
+    e = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "idx long, vector array<double>")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = fa.sentence_log_prob(pairs, e, e)
+        one = -np.log1p(np.exp(1.5))
+        assert {r.doc_id: round(r.log_prob, 9) for r in found.collect()} == {1: round(2 * one, 9), 2: round(one, 9)}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
