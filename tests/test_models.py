@@ -209,7 +209,7 @@ def test_ids_are_looked_up_beside_the_texts(spark, monkeypatch):
 
 
 def test_rare_tuples_go_before_the_joins(spark):
-    counts = spark.createDataFrame([(0, 1, 9), (0, 2, 5), (1, 2, 6)], "i long, j long, count long")
+    counts = spark.createDataFrame([(0, 1, 9), (0, 2, 5), (1, 2, 8)], "i long, j long, count long")
     unigrams = spark.createDataFrame([(0, 20), (1, 20), (2, 20)], "term_id long, count long")
     plan = lambda **o: cooc.ppmi_tensor(counts, unigrams, **o)._jdf.queryExecution().optimizedPlan().toString()
     assert "> 5" in plan().split("Join")[-1] and "> 5" not in plan(shift=1.0).split("Join")[-1]
