@@ -240,3 +240,15 @@ def test_sentence_scores_exchange_sums_only(spark):
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_combinations_of_a_chunk_leave_in_bounded_batches(spark, monkeypatch):
+    import itertools
+
+    monkeypatch.setattr(cooc, "COMBINED_ROWS", 4)
+    chunks = spark.createDataFrame([([3, 1, 2, 1],), ([1, 2, 3],), ([5, 4, 3, 2, 1],), ([7, 8],)], "ids array<bigint>")
+    want = {}
+    for s in ([1, 2, 3], [1, 2, 3], [1, 2, 3, 4, 5]):
+        for c in itertools.combinations(s, 3):
+            want[c] = want.get(c, 0) + 1
+    assert {tuple(r[:3]): r["count"] for r in cooc.ngram_cooccurrence(chunks, 3).collect()} == want
