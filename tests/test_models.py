@@ -252,3 +252,13 @@ def test_combinations_of_a_chunk_leave_in_bounded_batches(spark, monkeypatch):
         for c in itertools.combinations(s, 3):
             want[c] = want.get(c, 0) + 1
     assert {tuple(r[:3]): r["count"] for r in cooc.ngram_cooccurrence(chunks, 3).collect()} == want
+
+
+def test_cbow_gives_the_same_losses_in_any_number_of_cells(spark, toy, monkeypatch):
+    vocab = cooc.vocab_for(v.word_counts(toy, 1), 1)
+    windows = cooc.context_windows(cooc.to_ids(toy, vocab), 2, fixed_size=False)
+    found = []
+    for size in (100, 6):
+        monkeypatch.setattr(fa, "CELL_EXAMPLES", size)
+        found.append(fa.cbow(windows, vocab, 4, 3, negatives=2)[1])
+    assert found[0] == pytest.approx(found[1], rel=1e-9) and found[0][-1] < found[0][0]
