@@ -262,3 +262,10 @@ def test_cbow_gives_the_same_losses_in_any_number_of_cells(spark, toy, monkeypat
         monkeypatch.setattr(fa, "CELL_EXAMPLES", size)
         found.append(fa.cbow(windows, vocab, 4, 3, negatives=2)[1])
     assert found[0] == pytest.approx(found[1], rel=1e-9) and found[0][-1] < found[0][0]
+
+
+def test_skipgram_windows_are_drawn_once_a_position(spark):
+    docs = spark.createDataFrame([(1, [4, 5, 6, 7])], "doc_id long, ids array<bigint>")
+    pairs = cooc.skipgram_pairs(docs, 3)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert {(r.target, r.context) for r in pairs.collect()} >= {(4, 5), (5, 4), (5, 6), (6, 5), (6, 7), (7, 6)}
