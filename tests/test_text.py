@@ -63,3 +63,18 @@ def test_standardize_words(spark):
 def test_wiki_article_filter(spark):
     rows = spark.createDataFrame([("Talk:x", "word " * 60), ("ok", "word " * 60), ("short", "word")], "title string, text string")
     assert [r["title"] for r in tx.clean_wiki_articles(rows).collect()] == ["ok"]
+
+
+def test_short_ways_of_tokens_equal_the_long_ones(spark):
+    pieces = ["plain", "U.S.A.", "caf\u00e9,", "x1y2", "--", "a_the_longword", "The", "_", "\u0130stanbul", "it's", "ab", "12", "e.g.word", "\u212aelvin", "word.", "\u00bdcup"]
+    rows = spark.createDataFrame([(p,) for p in pieces], "c string")
+    c = F.col("c")
+    first = F.get(tx.tokenize(tx.collapse_acronyms(c), lower=True, deacc=True), F.lit(0))
+    token = tx.tokenize(c, lower=True, deacc=True)
+    stop = ["the", "plain"]
+    long = tx.default_filters(stop, stemming=False)
+    got = rows.select(tx.first_token(c).alias("a"), first.alias("b"), F.transform(token, lambda w: tx.clean_token(w, stop)).alias("d"),
+                      F.transform(token, lambda w: F.array_join(tx.preprocess_string(w, long), "")).alias("e"),
+                      tx.preprocess_string(c, tx.content_filters(stop)).alias("f"), tx.preprocess_string(c, long).alias("g"))
+    assert all(r["a"] == r["b"] and r["d"] == r["e"] and r["f"] == r["g"] for r in got.collect())
+    assert "longword" in str([r["d"] for r in got.collect()])
