@@ -124,6 +124,21 @@ def test_random_projection_keeps_norms(spark):
     assert all(0.5 < n / 40 < 1.6 for n in norms.values())
 
 
+def test_phrases_are_scanned_beside_their_documents(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i == 7 else [f"w{x}" for x in rng.integers(0, 5, rng.integers(0, 30))]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, tokens array<string>").repartition(3, "doc_id")
+    pairs = spark.createDataFrame([("w0", "w1"), ("w1", "w1"), ("w1", "w2"), ("w4", "w0"), ("w9", "w0")], "a string, b string")
+    got = ph.apply_phrases(docs, pairs)
+    accepted = ph._accepted_pairs(docs, pairs, "tokens").collect()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the test's own repartition
+    got = {r["doc_id"]: r["tokens"] for r in got.collect()}
+    monkeypatch.setattr(ph, "SCAN_ROWS", 0)
+    want = {r["doc_id"]: r["tokens"] for r in ph.apply_phrases(docs, pairs).collect()}
+    assert got == want and any("w1_w2" in t for t in got.values() if t) and got[7] is None
+    assert set(map(tuple, accepted)) == {(r["a"], r["b"]) for r in ph.accepted_positions(docs, pairs).collect()}
+
+
 def test_phrase_lookup_takes_longest_known_stretches(spark):
     e = spark.createDataFrame([("new_york", [1.0, 0.0]), ("new", [9.0, 9.0]), ("york", [9.0, 9.0]), ("city", [0.0, 1.0]), ("a##", [4.0, 4.0])],
                               "word string, vector array<double>")
