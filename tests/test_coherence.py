@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from vectorloom.operators import coherence as coh
@@ -75,3 +77,12 @@ def test_windows_and_chunks(spark):
     cut = [(r["target"], r["context"]) for r in c.context_windows(df, 2, fixed_size=False).collect()]
     assert cut[0] == (1, [2, 3]) and cut[4] == (5, [3, 4]) and len(cut) == 5
     assert [r["ids"] for r in c.chunk_sentences(df, 1).collect()] == [[1, 2, 3], [4, 5]]
+
+
+def test_ordered_triples_exchange_one_order(spark):
+    """Counts of (target, context, context') equal those of all pairs of places; only j <= k is grouped."""
+    windows = [(1, [2, 3, 2, 5]), (1, [3, 2]), (4, [4, 4]), (4, []), (2, [7])]
+    expected = Counter((t, x, y) for t, context in windows for x in context for y in context)
+    found = c.count_with_context(spark.createDataFrame(windows, "target long, context array<long>"), 3)
+    assert {(r.i, r.j, r.k): r["count"] for r in found.collect()} == expected
+    assert "Generate" in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]  # the other order comes after the count
