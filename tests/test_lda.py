@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from vectorloom.operators import lda
+from vectorloom.operators import topics as tp
 from vectorloom.operators.topics import choose_topic_count
 
 K, TERMS = 3, 14
@@ -146,3 +147,34 @@ def test_two_candidates_are_scored(spark):
 
     out = choose_topic_count(tokens, chunk_documents(token_runs(tokens), vocab), vocab, [2, 3], passes=2).collect()
     assert [r.k for r in out] == [2, 3] and all(1 < r.perplexity < 14 and r.coherence < 0 for r in out)
+
+
+def test_small_tables_go_to_the_blocks(spark, docs, monkeypatch):
+    """Blocks stay where they lie beside a small table of topics; a large one is joined, with the same parameters and rows."""
+    found = {}
+    for small in (True, False):
+        monkeypatch.setattr(lda, "fits", lambda *_: small)
+        blocks = lda.pack_blocks(docs, 3)
+        model = lda.OnlineLda(3, 12, alpha="auto", seed=2).update(blocks).update(blocks)
+        theta = model.transform(blocks)
+        assert ("Exchange" in theta._jdf.queryExecution().executedPlan().toString()) is not small
+        found[small] = ({r.term_id: r.vector for r in model.table(spark).collect()}, {r.doc_id: r.theta for r in theta.collect()}, model.bound(docs))
+    for a, b in zip(found[True][:2], found[False][:2], strict=True):
+        assert a.keys() == b.keys() and all(np.allclose(a[x], b[x]) for x in a)
+    assert np.isclose(found[True][2], found[False][2])
+
+
+def test_word_topics_stay_in_the_row(spark):
+    """Equal rows and repeated keys share one total, unknown words and documents drop out, and a word is not exchanged once a topic."""
+    runs = [(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "c"), (4, "a"), (None, "a"), (5, "b")]
+    theta = [(1, 0, 0.25), (1, 1, 0.75), (2, 1, 1.0), (3, 0, 1.0), (5, 0, 0.5), (5, 0, 0.5)]
+    beta = [(t, w, p) for w, ps in (("a", (0.5, 0.1)), ("b", (0.2, 0.4))) for t, p in enumerate(ps)]
+    out = tp.word_topics(spark.createDataFrame(theta, "doc_id long, topic int, prob double"), spark.createDataFrame(runs, "doc_id long, token string"),
+                         spark.createDataFrame(beta, "topic int, token string, prob double"))
+    cells = [(d, w, t, p * q) for d, w in runs for e, t, p in theta if e == d for u, x, q in beta if (u, x) == (t, w)]
+    total = {}
+    for d, w, _, x in cells:
+        total[d, w] = total.get((d, w), 0) + x
+    assert sorted((r.doc_id, r.token, r.topic, round(r.phi, 9)) for r in out.collect()) == sorted((d, w, t, round(x / total[d, w], 9)) for d, w, t, x in cells)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x and "topic" in x.split("hashpartitioning")[1]]
